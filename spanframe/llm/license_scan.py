@@ -17,10 +17,8 @@ columns are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ANCHORS = 4
@@ -94,6 +92,18 @@ def _anchors(t: Template, often: dict[str, int]) -> list[int]:
     return [i for _, i in rarest[: 1 if t.base or len(t.phrases[0][1]) == len(t.words) else ANCHORS]]
 
 
+def _places(number: int, t: Template, need: int) -> str:
+    """SQL for the verified places of a template, from the columns ``__hits`` and ``__words``."""
+    listed = lambda words: "array(" + ", ".join(f"'{w}'" for w in words) + ")"
+    size = len(t.words)
+    tests = [f"slice(__words, greatest(a, 0) + {start + 1}, {len(own)}) = {listed(own)}" for start, own in t.phrases]
+    if need > 1:
+        tests.insert(0, f"size(filter(__hits, h -> h.t = {number} and h.at = a)) >= {need}")
+    at = f"array_distinct(transform(filter(__hits, h -> h.t = {number}), h -> h.at))"
+    agreed = f"aggregate(zip_with(slice(__words, a + 1, {size}), {listed(t.words)}, (x, y) -> if(x = y, 1, 0)), 0, (n, x) -> n + x) / {size}D"
+    return f"transform(filter({at}, a -> a >= 0 and {' and '.join(tests)}), a -> struct({number} as t, cast(a as bigint) as at, {agreed} as agreed))"
+
+
 def find_licenses(docs: DataFrame, templates: tuple[Template, ...] = (*BASE, *PASSAGES)) -> DataFrame:
     """doc_id, ``__words`` and ``__found``: (template, at, agreed) of every verified place.
 
@@ -116,20 +126,7 @@ def find_licenses(docs: DataFrame, templates: tuple[Template, ...] = (*BASE, *PA
     hits = F.flatten(F.transform("__rare", lambda i: F.transform(index[word(i)], lambda p: F.struct(p["t"].alias("t"), (i - p["q"]).alias("at")))))
     rows = rows.withColumn("__hits", F.when(F.size("__rare") > 0, hits))
 
-    def places(number: int, t: Template) -> Column:
-        mine = lambda h: h["t"] == number
-        at = F.array_distinct(F.transform(F.filter("__hits", mine), lambda h: h["at"]))
-
-        def verified(a: Column) -> Column:
-            said = [F.coalesce(word(a + (start + j)) == w, F.lit(False)) for start, own in t.phrases for j, w in enumerate(own)]
-            inside = (a >= 0) & (a + t.phrases[-1][0] < n)
-            agree = F.size(F.filter("__hits", lambda h: mine(h) & (h["at"] == a))) >= need[number]
-            return reduce(and_, said, inside & agree) if need[number] > 1 else reduce(and_, said, inside)
-
-        agreed = lambda a: reduce(lambda x, y: x + y, [F.coalesce((word(a + j) == w).cast("int"), F.lit(0)) for j, w in enumerate(t.words)]) / F.lit(float(len(t.words)))
-        return F.transform(F.filter(at, verified), lambda a: F.struct(F.lit(number).alias("t"), a.cast("long").alias("at"), agreed(a).alias("agreed")))
-
-    found = F.concat(*[places(i, t) for i, t in enumerate(templates)])
+    found = F.expr("concat(" + ", ".join(_places(i, t, need[i]) for i, t in enumerate(templates)) + ")")
     none = F.array().cast("array<struct<t:int,at:bigint,agreed:double>>")
     return rows.withColumn("__found", F.when(F.size("__hits") > 0, found).otherwise(none)).select("doc_id", "__words", "__found")
 

@@ -64,13 +64,12 @@ def _matches(text: Column, pattern: str, hint: str) -> Column:
 
 def _base_spans(text: Column) -> Column:
     """(start, end, rank) of the known forms."""
-    out = []
-    for rank, (kind, pattern, least, group) in enumerate(BASE):
-        found = _matches(text, pattern, HINTS[rank])
-        size = (lambda m, p=pattern: F.length(F.regexp_extract(m["said"], p, 2))) if group else (lambda m: F.length(m["said"]))
-        kept = F.filter(found, lambda m, size=size, least=least: size(m) >= least)
-        out.append(F.transform(kept, lambda m, rank=rank: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(rank).alias("rank"))))
-    return F.concat(*out)
+    def kept(rank: int, pattern: str, least: int, group: bool) -> Column:
+        size = lambda m: F.length(F.regexp_extract(m["said"], pattern, 2) if group else m["said"])
+        found = F.filter(_matches(text, pattern, HINTS[rank]), lambda m: size(m) >= least)
+        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(rank).alias("rank")))
+
+    return F.concat(*[kept(i, *b[1:]) for i, b in enumerate(BASE)])
 
 
 def _normal_tail(z: Column) -> Column:
@@ -183,7 +182,8 @@ def secret_report(docs: DataFrame) -> DataFrame:
     found = find_secrets(docs.select("doc_id", "text"))
     base = F.filter("__spans", lambda s: s["rank"] < len(BASE))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("__spans", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{b[0]}") for i, b in enumerate(BASE)]
+    count = lambda i: F.size(F.filter("__spans", lambda s: s["rank"] == i)).cast("long")
+    counts = [count(i).alias(f"n_{b[0]}") for i, b in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("__spans")).alias("spans"))
 
 
