@@ -32,10 +32,8 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 20, False),
     ("hex", r"[0-9a-f]+", 24, False),
 )
-#: Where a document has no match of these, the patterns above have none that is long enough.
-HINTS = (r"(?i)(password|passwd|secret|token|api_?key)", "AKIA", r"[0-9a-f]{24}")
 RANDOM = "random"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_="
 RATE = 0.01
 KEEP_CHANCE = 1e-3
@@ -46,7 +44,14 @@ LENGTHS = (20, 24, 32, 48, 64, 128, 1 << 30)
 MASK = "[SECRET]"
 
 
-def _matches(text: Column, pattern: str, hint: str) -> Column:
+def _hints(text: Column) -> list[Column]:
+    """Where one of these does not hold, the pattern of that rank has no match that is long enough."""
+    # The look-ahead passes over most places with one test.
+    words = r"(?=[PpSsTtAa])(?i:password|passwd|secret|token|api_?key)"
+    return [text.rlike(words), F.contains(text, F.lit("AKIA")), text.rlike(r"[0-9a-f]{24}")]
+
+
+def _matches(text: Column, pattern: str, hint: Column) -> Column:
     """(start, end, said) of all leftmost non-overlapping matches, from the lengths of matches and gaps."""
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.zip_with(hits, gaps, lambda m, g: F.struct(F.coalesce(m, F.lit("")).alias("m"), g.alias("g")))
@@ -59,86 +64,73 @@ def _matches(text: Column, pattern: str, hint: str) -> Column:
 
     found = F.aggregate(F.slice(pairs, 1, F.size(hits)), F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind), step, lambda acc: acc["out"])
     none = F.array().cast("array<struct<start:int,end:int,said:string>>")
-    return F.when(text.rlike(hint), found).otherwise(none)
+    return F.when(hint, found).otherwise(none)
 
 
 def _base_spans(text: Column) -> Column:
     """(start, end, rank) of the known forms."""
+    hints = _hints(text)
+
     def kept(rank: int, pattern: str, least: int, group: bool) -> Column:
         size = lambda m: F.length(F.regexp_extract(m["said"], pattern, 2) if group else m["said"])
-        found = F.filter(_matches(text, pattern, HINTS[rank]), lambda m: size(m) >= least)
+        found = F.filter(_matches(text, pattern, hints[rank]), lambda m: size(m) >= least)
         return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(rank).alias("rank")))
 
     return F.concat(*[kept(i, *b[1:]) for i, b in enumerate(BASE)])
 
 
-def _normal_tail(z: Column) -> Column:
-    """P(a standard normal is over z), to 1e-7 of relative error in the middle and a bound in the tails."""
-    x = F.abs(z) / F.lit(2.0**0.5)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * x)
+def _tail(z: str, t: str) -> str:
+    """SQL for P(a standard normal is over z), by a rational Chebyshev approximation; t is 1 / (1 + |z| / sqrt(8))."""
     terms = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    poly = reduce(lambda a, c: a * t + F.lit(c), reversed(terms[:-1]), F.lit(terms[-1]))
-    tail = F.lit(0.5) * t * F.exp(-x * x + poly)
-    return F.when(z >= 0, tail).otherwise(F.lit(1.0) - tail)
-
-
-def _tested(c: Column) -> Column:
-    """A candidate (start, end, said) with its length n, chance and ordinary probabilities.
-
-    The steps are single-element transforms, so that each intermediate value is computed once.
-    """
-    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
-    said, n = c["said"], F.length(c["said"]).cast("double")
-    has = lambda p: F.when(said.rlike(p), F.lit(1.0)).otherwise(F.lit(0.0))
-    hexa = said.rlike("^([0-9a-f]+|[0-9A-F]+)$") & said.rlike("[0-9]") & said.rlike("[A-Fa-f]")
-    letters = F.lit(26.0) * (has("[a-z]") + has("[A-Z]"))
-    size = F.when(hexa, F.lit(16.0)).otherwise(F.lit(10.0) * has("[0-9]") + letters + F.lit(4.0) * has("[-+/_]") + has("="))
-    same = F.when(hexa | (letters == 0), F.lit(DIGIT_COINCIDENCE)).otherwise(F.lit(LETTER_COINCIDENCE))
-    symbols = F.array(*[F.lit(s) for s in SYMBOLS])
-    squares = F.aggregate(F.transform(symbols, lambda s: n - F.length(F.replace(said, s, F.lit("")))), F.lit(0.0), lambda a, k: a + k * k)
-    values = F.transform(F.filter(F.split(said, ""), lambda x: x != ""), lambda x: F.instr(F.lit(SYMBOLS), x).cast("double"))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-
-    def with_values(v: Column) -> Column:
-        return let(total(v) / n, lambda mean: with_mean(v, mean))
-
-    def with_mean(v: Column, mean: Column) -> Column:
-        high = total(F.transform(v, lambda x: (x >= mean).cast("double")))
-        turns = total(F.transform(v, lambda x, i: F.when((i > 0) & ((x >= mean) != (F.get(v, i - 1) >= mean)), F.lit(1.0)).otherwise(F.lit(0.0)))) + 1.0
-        spread = total(F.transform(v, lambda x: (x - mean) * (x - mean)))
-        lag = total(F.transform(v, lambda x, i: F.when(i > 0, (x - mean) * (F.get(v, i - 1) - mean)).otherwise(F.lit(0.0))))
-        return let(F.struct(high.alias("high"), turns.alias("turns"), spread.alias("spread"), lag.alias("lag"), squares.alias("squares")), joined)
-
-    def joined(s: Column) -> Column:
-        freedom = F.greatest(size - 1, F.lit(1.0))
-        chi = F.greatest(size / n * s["squares"] - n, F.lit(1e-9))
-        cube = (F.pow(chi / freedom, F.lit(1 / 3)) - (1 - F.lit(2.0) / (9 * freedom))) / F.sqrt(F.lit(2.0) / (9 * freedom))
-        p_even = _normal_tail(cube)
-        low = n - s["high"]
-        runs = 2 * s["high"] * low / n + 1
-        runs_var = (runs - 1) * (runs - 2) / (n - 1)
-        p_runs = F.when(runs_var > 0, 2 * _normal_tail(F.abs(s["turns"] - runs) / F.sqrt(F.greatest(runs_var, F.lit(1e-9))))).otherwise(F.lit(1e-9))
-        r = s["lag"] / F.greatest(s["spread"], F.lit(1e-9))
-        p_serial = F.when(s["spread"] > 0, 2 * _normal_tail(F.abs(r + 1 / n) * F.sqrt(n))).otherwise(F.lit(1e-9))
-        half = -reduce(lambda a, b: a + b, [F.ln(F.greatest(p, F.lit(1e-30))) for p in (p_even, p_runs, p_serial)])
-        chance = F.exp(-half) * (1 + half + half * half / 2)
-        moved = n * F.greatest(size * same - 1, F.lit(0.0))
-        ordinary = _normal_tail((freedom + moved - chi) / F.sqrt(2 * (freedom + 2 * moved)))
-        ordinary = F.when(moved > 0, ordinary).otherwise(F.lit(1.0))
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), n.cast("int").alias("n"), chance.alias("chance"), ordinary.alias("ordinary"))
-
-    return let(values, with_values)
+    poly = reduce(lambda a, c: f"({a} * {t} + {c}D)", reversed(terms[:-1]), f"{terms[-1]}D")
+    tail = f"0.5D * {t} * exp(-{z} * {z} / 2D + {poly})"
+    return f"if({z} >= 0, {tail}, 1D - {tail})"
+
+
+def _steps() -> list[tuple[str, dict[str, str]]]:
+    """How a candidate c (start, end, said) is tested: fields kept from one step to the next, and new ones."""
+    has = lambda p, n: f"if(c.said rlike '{p}', {n}D, 0D)"
+    hexa = "c.said rlike '^([0-9a-f]+|[0-9A-F]+)$' and c.said rlike '[0-9]' and c.said rlike '[A-Fa-f]'"
+    size = " + ".join([has("[0-9]", 10), has("[a-z]", 26), has("[A-Z]", 26), has("[-+/_]", 4), has("=", 1)])
+    symbols = "array(" + ", ".join(f"'{x}'" for x in SYMBOLS) + ")"
+    total = lambda over, what, by="x": f"aggregate(transform({over}, {by} -> {what}), 0D, (a, y) -> a + y)"
+    high = "(x >= c.mean)"
+    before = "get(c.v, i - 1)"
+    zs = ("even", "runs", "serial", "ordinary")
+    return [
+        ("start end said", {"n": "cast(length(c.said) as double)", "hexa": hexa}),
+        ("start end said n hexa", {"size": f"if(c.hexa, 16D, {size})", "letters": "c.said rlike '[A-Za-z]'"}),
+        ("start end n size", {"same": f"if(c.hexa or not c.letters, {DIGIT_COINCIDENCE}D, {LETTER_COINCIDENCE}D)", "squares": total(symbols, "power(c.n - length(replace(c.said, x, '')), 2)"), "v": f"transform(filter(split(c.said, ''), x -> x <> ''), x -> cast(instr('{SYMBOLS}', x) as double))"}),
+        ("start end n size same squares v", {"mean": total("c.v", "x") + " / c.n"}),
+        ("start end n size same squares", {"high": total("c.v", f"if({high}, 1D, 0D)"), "turns": total("c.v", f"if(i > 0 and {high} <> ({before} >= c.mean), 1D, 0D)", "(x, i)") + " + 1D", "spread": total("c.v", "power(x - c.mean, 2)"), "lag": total("c.v", f"if(i > 0, (x - c.mean) * ({before} - c.mean), 0D)", "(x, i)")}),
+        ("start end n turns spread", {"df": "greatest(c.size - 1D, 1D)", "chi": "greatest(c.size / c.n * c.squares - c.n, 1e-9D)", "expected": "2D * c.high * (c.n - c.high) / c.n + 1D", "r": "c.lag / greatest(c.spread, 1e-9D)", "moved": "c.n * greatest(c.size * c.same - 1D, 0D)"}),
+        ("start end n spread moved", {
+            "even": "(power(c.chi / c.df, 1D / 3D) - (1D - 2D / (9D * c.df))) / sqrt(2D / (9D * c.df))",
+            "varied": "(c.expected - 1D) * (c.expected - 2D) > 0D",
+            "runs": "abs(c.turns - c.expected) / sqrt(greatest((c.expected - 1D) * (c.expected - 2D) / (c.n - 1D), 1e-9D))",
+            "serial": "abs(c.r + 1D / c.n) * sqrt(c.n)",
+            "ordinary": "(c.df + c.moved - c.chi) / sqrt(2D * (c.df + 2D * c.moved))",
+        }),
+        ("start end n spread moved varied " + " ".join(zs), {f"t_{z}": f"1D / (1D + abs(c.{z}) / sqrt(8D))" for z in zs}),
+        ("start end n spread moved varied", {f"p_{z}": _tail(f"c.{z}", f"c.t_{z}") for z in zs}),
+        ("start end n", {
+            "half": "-(ln(greatest(c.p_even, 1e-30D)) + ln(if(c.varied, greatest(2D * c.p_runs, 1e-30D), 1e-9D)) + ln(if(c.spread > 0D, greatest(2D * c.p_serial, 1e-30D), 1e-9D)))",
+            "ordinary": "if(c.moved > 0D, c.p_ordinary, 1D)",
+        }),
+        ("start end", {"n": "cast(c.n as int)", "chance": "exp(-c.half) * (1D + c.half + c.half * c.half / 2D)", "ordinary": "c.ordinary"}),
+    ]
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
-    """docs with ``__base`` spans and ``__tested`` candidates outside them."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("__text", text)
-    rows = rows.withColumn("__base", _base_spans(F.col("__text"))).withColumn("__seen", _matches(F.col("__text"), CANDIDATE, CANDIDATE))
+    """docs with ``__base`` spans and ``__tested`` candidates outside them: start, end, n, chance, ordinary."""
+    rows = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
+    rows = rows.withColumns({"__base": _base_spans(F.col("__text")), "__seen": _matches(F.col("__text"), CANDIDATE, F.col("__text").rlike(CANDIDATE))})
     free = F.filter("__seen", lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = rows.withColumn("__free", free)
-    none = F.array().cast("array<struct<start:int,end:int,n:int,chance:double,ordinary:double>>")
-    return rows.withColumn("__tested", F.when(F.size("__free") > 0, F.transform("__free", _tested)).otherwise(none)).drop("__text", "__seen", "__free")
+    rows = rows.withColumn("__tested", free)
+    for kept, new in _steps():
+        fields = [f"c.{k} as {k}" for k in kept.split()] + [f"{v} as {k}" for k, v in new.items()]
+        rows = rows.withColumn("__tested", F.expr(f"transform(__tested, c -> struct({', '.join(fields)}))"))
+    return rows.drop("__text", "__seen")
 
 
 def _length_class(n: Column) -> Column:
