@@ -12,8 +12,9 @@ The stages:
    into one class, of which the least doc_id stands for all. Exact copies cost nothing further.
 2. Half keys that a single class has are dropped; only classes with a shared left and a shared right half
    key form table keys.
-3. In the first round each class is compared with one pivot, the least class among its tables. Sets are
-   shipped once for each pair; a pivot's set is sent once for each block of partners.
+3. A table's pivot is its class that shares most tables with others, as a text does that others vary. In the
+   first round each class is compared with one pivot, the most central of its tables'. Sets are shipped once
+   for each pair; a pivot's set is sent once for each block of partners.
 4. Components are found. Tables whose classes are not yet in one component go on: their classes outside
    the largest component are compared with more and more pivots, until every pair of a table has been
    compared or is connected. A table of mutual copies ends after round one, however large.
@@ -184,11 +185,19 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = int(100 *
     single = classes.groupBy("rep").agg(F.max_by("n", F.struct("n", "d1", "d2")).alias("n"), F.max_by("halves", F.struct("n", "d1", "d2")).alias("halves"))
     single = scratch.keep(single, "single")
     keys = scratch.keep(_table_keys(single, m), "keys")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-    members = scratch.keep(keys.join(buckets, "key"), "members")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = scratch.keep(keys.join(sizes, "key"), "shared")
     scratch.drop("keys")
+    # The class that meets most others, over all its tables, is likely to be the text that they vary.
+    central = shared.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("met"))
+    ranked = shared.join(central, "rep")
+    pivots = ranked.groupBy("key").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("pivot"), F.max("met").alias("pivot_met"))
+    members = scratch.keep(shared.join(pivots, "key"), "members")
+    scratch.drop("shared")
+    scratch.free_shuffles()
     involved = members.select("rep").distinct()
     sets = scratch.keep(_sets(docs, involved, single, k), "sets")
+    scratch.free_shuffles()
     links = _links(members, single, sets, percent, m, scratch)
     joined = links.select(F.col("node").alias("rep"), "component")
     placed = classes.join(joined, "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("c"))
@@ -213,7 +222,8 @@ def _sets(docs: DataFrame, involved: DataFrame, single: DataFrame, k: int) -> Da
 
 def _links(members: DataFrame, single: DataFrame, sets: DataFrame, percent: int, m: int, scratch: Scratch) -> DataFrame:
     """Components over all verified links of tables' members, as (node, component)."""
-    first = members.where("rep != pivot").groupBy(F.col("rep").alias("x")).agg(F.min("pivot").alias("y"))
+    best = F.max_by("pivot", F.struct("pivot_met", -F.col("pivot"))).alias("y")
+    first = members.where("rep != pivot").groupBy(F.col("rep").alias("x")).agg(best)
     links = scratch.keep(_verified(_plausible(first, single, percent, m), sets, percent), "links-0")
     at, most = 0, FIRST_PIVOTS
     least = 0
@@ -238,4 +248,5 @@ def _links(members: DataFrame, single: DataFrame, sets: DataFrame, percent: int,
         pairs = a.union(b).distinct()
         more = scratch.keep(_verified(_plausible(pairs, single, percent, m), sets, percent), f"more-{at + 1}")
         links = links.union(more)
+        scratch.free_shuffles()
         at, least, most = at + 1, most, most * 4
