@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,7 +63,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     if texts.null_count:
         texts = texts.fill_null("")
     off = np.zeros(n_docs + 1, np.int64)
-    np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), out=off[1:])
+    np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), out=off[1:])
     kinds = np.zeros((6, 256), bool)
     kinds[0, list(b"#*$%&|<>{}[]~^=\\@_")] = True
     kinds[1, 48:58] = kinds[2, 65:91] = kinds[4, 128:] = True
