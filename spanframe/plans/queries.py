@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanframe.functions import sequence as sq
 from spanframe.operators import coverage, genomics, intervals, islands, regions, statistics
+from spanframe.streaming import tracks
 
 CHROMS = 997
 DAY0 = "1992-01-01"
@@ -402,3 +403,15 @@ def variant_sites(s: SparkSession, d: str) -> DataFrame:
 def cell_gene_counts(s: SparkSession, d: str) -> DataFrame:
     reads = items(s, d, "l_orderkey", "l_linenumber", "l_returnflag").select("chrom", "start", "end", F.struct("l_orderkey", "l_linenumber").alias("read_id"), F.col("l_returnflag").alias("cell"))
     return genomics.cell_gene_counts(reads, orders(s, d, "o_orderpriority").withColumnRenamed("o_orderpriority", "gene"))
+
+
+@register("time_windows", "SELECT event_type AS chrom, epoch_us(ts) // 300000000 AS bucket, round(avg(value), 6) AS value, count(*) AS n, max(value) AS high FROM events GROUP BY ALL")
+def time_windows(s: SparkSession, d: str) -> DataFrame:
+    found = tracks.windowed_track(_t(s, d, "events"))
+    return found.select("chrom", F.expr("unix_micros(start) div 300000000").alias("bucket"), F.round("value", 6).alias("value"), "n", "high")
+
+
+@register("user_sessions", "WITH g AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS o FROM events), i AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n, round(sum(value), 4) AS total FROM i GROUP BY user_id, k")
+def user_sessions(s: SparkSession, d: str) -> DataFrame:
+    found = tracks.sessions(_t(s, d, "events"))
+    return found.select("user_id", F.expr("unix_micros(start)").alias("start"), "n", F.round("total", 4).alias("total"))
