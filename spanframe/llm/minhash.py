@@ -12,11 +12,13 @@ The stages:
    into one class, of which the least doc_id stands for all. Exact copies cost nothing further.
 2. Half keys that a single class has are dropped; only classes with a shared left and a shared right half
    key form table keys.
-3. A table's pivot is its class that shares most tables with others, as a text does that others vary. In the
-   first round each class is compared with one pivot, the most central of its tables'. Sets are shipped once
-   for each pair; a pivot's set is sent once for each block of partners.
-4. Components are found. Tables whose classes are not yet in one component go on: their classes outside
-   the largest component are compared with more and more pivots, until every pair of a table has been
+3. Of each set that shares a table, the shingles that no other such set has are counted. A pair shares at most
+   the rest, so two classes of which each has more than (1 - t) / (1 + t) own shingles cannot be linked, and in
+   a table only the others, the clean ones, need to be compared with all. A table's pivot is its cleanest
+   class, as the text that others vary is. In the first round each class is compared with one pivot, the
+   cleanest of its tables'. Sets are shipped once for each pair, a pivot's once for each block of partners.
+4. Components are found. Tables whose classes are not yet in one component go on: more and more of their clean
+   classes are compared with the members of other components, until every pair that can be linked has been
    compared or is connected. A table of mutual copies ends after round one, however large.
 5. Before their sets are shipped, pairs are dropped whose sizes rule the threshold out, or which share so
    few half keys that a pair over the threshold would do so with a probability under MISS.
@@ -34,7 +36,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.llm._text import U, lists, map_texts, mix, split_words
@@ -188,15 +190,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = int(100 *
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = scratch.keep(keys.join(sizes, "key"), "shared")
     scratch.drop("keys")
-    # The class that meets most others, over all its tables, is likely to be the text that they vary.
-    central = shared.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("met"))
-    ranked = shared.join(central, "rep")
-    pivots = ranked.groupBy("key").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("pivot"), F.max("met").alias("pivot_met"))
-    members = scratch.keep(shared.join(pivots, "key"), "members")
-    scratch.drop("shared")
+    sets = scratch.keep(_sets(docs, shared.select("rep").distinct(), single, k), "sets")
     scratch.free_shuffles()
-    involved = members.select("rep").distinct()
-    sets = scratch.keep(_sets(docs, involved, single, k), "sets")
+    ratio = F.col("s") / F.col("n")
+    counted = sets.groupBy("rep").agg(F.min(F.expr("octet_length(set) div 8")).alias("n"))
+    sizes = scratch.keep(counted.join(_own_shingles(sets), "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s")), "sizes")
+    ranked = shared.join(sizes, "rep").withColumn("clean", (100 + percent) * F.col("s") >= 2 * percent * F.col("n"))
+    rank = F.struct(ratio.alias("ratio"), -F.col("rep"))
+    best = ranked.groupBy("key").agg(F.max_by("rep", rank).alias("pivot"), F.max_by("n", rank).alias("pivot_n"), F.max_by("s", rank).alias("pivot_s"))
+    members = scratch.keep(ranked.join(best, "key"), "members")
+    scratch.drop("shared")
     scratch.free_shuffles()
     links = _links(members, single, sets, percent, m, scratch)
     joined = links.select(F.col("node").alias("rep"), "component")
@@ -207,45 +210,69 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = int(100 *
 
 
 def _sets(docs: DataFrame, involved: DataFrame, single: DataFrame, k: int) -> DataFrame:
-    """(rep, set) of the involved nodes: the set as bytes of sorted hashes."""
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(involved.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    """(rep, set) of the involved nodes: the set as bytes of sorted hashes. Repeated rows repeat it.
+
+    Of several texts under one doc_id the one that `single` describes counts.
+    """
+    wanted = involved.join(single.select("rep", "n"), "rep").withColumnRenamed("rep", "doc_id")
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(part.column(1), k)
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "n", "set"])
+        rows = [(i, x.tobytes()) for i, (x, n) in enumerate(zip(shingle_sets(part.column(1), k), part.column(2).to_pylist(), strict=True)) if len(x) == n]
+        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array([i for i, _ in rows], pa.int64())), pa.array([x for _, x in rows], pa.binary())], ["rep", "set"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = map_texts(texts, "text", f"rep {kind}, n long, set binary", run)
-    # A doc_id that several rows share keeps the set that `single` describes.
-    return found.join(single.select("rep", F.col("n").alias("is")), "rep").where("n = is").groupBy("rep").agg(F.min("set").alias("set"))
+    return map_texts(texts, "text", f"rep {kind}, set binary", run)
+
+
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(rep, own): how many shingles of each set no other set has. Batches are counted before the shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            reps, found = batch.column(0).to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            owner = np.repeat(reps, [len(x) for x in found])
+            h, first, n = np.unique(np.concatenate(found), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(owner[first], batch.schema.field(0).type)], ["h", "n", "rep"])
+
+    kind = sets.schema["rep"].dataType.simpleString()
+    counts = sets.select("rep", "set").mapInArrow(run, f"h long, n long, rep {kind}").groupBy("h").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
+    return counts.where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
+
+
+def _may_link(percent: int, x: str, y: str) -> Column:
+    """A pair shares at most the shingles that are not either's own: min(s) >= t / (1 + t) * (n + n) must hold."""
+    return (100 + percent) * F.least(f"{x}s", f"{y}s") >= percent * (F.col(f"{x}n") + F.col(f"{y}n"))
 
 
 def _links(members: DataFrame, single: DataFrame, sets: DataFrame, percent: int, m: int, scratch: Scratch) -> DataFrame:
     """Components over all verified links of tables' members, as (node, component)."""
-    best = F.max_by("pivot", F.struct("pivot_met", -F.col("pivot"))).alias("y")
-    first = members.where("rep != pivot").groupBy(F.col("rep").alias("x")).agg(best)
+    fit = (F.col("rep") != F.col("pivot")) & _may_link(percent, "", "pivot_")
+    best = F.max_by("pivot", F.struct(F.col("pivot_s") / F.col("pivot_n"), -F.col("pivot"))).alias("y")
+    first = members.where(fit).groupBy(F.col("rep").alias("x")).agg(best)
     links = scratch.keep(_verified(_plausible(first, single, percent, m), sets, percent), "links-0")
-    at, most = 0, FIRST_PIVOTS
-    least = 0
+    at, least, most = 0, 0, FIRST_PIVOTS
     while True:
         found = components(links, scratch, f"components-{at}")
-        named = members.select("key", "rep", "size").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("c"))
-        per = named.groupBy("key", "c").agg(F.count("*").alias("held"))
-        main = per.groupBy("key").agg(F.max_by("c", F.struct("held", "c")).alias("main"), F.count("*").alias("cs")).where("cs > 1").select("key", "main")
-        open_ = scratch.keep(named.join(main, "key"), f"open-{at}")
-        # Each table draws its pivots by the rank of a hash: those of earlier rounds are not drawn again.
-        rank = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        now = open_.withColumn("rank", rank)
-        unseen = open_.agg(F.max("size")).first()[0]
-        if unseen is None or unseen <= least:
+        named = members.select("key", "rep", "n", "s", "clean").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+        per = named.groupBy("key", "c").agg(F.count("*").alias("held"), F.sum(F.col("clean").cast("int")).alias("clean"))
+        main = per.groupBy("key").agg(F.max_by("c", F.struct("held", "c")).alias("main"), F.count("*").alias("cs"), F.sum("clean").alias("cleans")).where(F.col("cs") > 1).where(F.col("cleans") > least).select("key", "main", "cleans")
+        now = scratch.keep(named.join(main, "key"), f"open-{at}")
+        if at:
+            scratch.drop(f"open-{at - 1}")
+        if now.isEmpty():
             return found
-        drawn = now.where((F.col("size") > least) & ((F.col("rank") * F.col("size") < most) | (F.col("size") <= most)) & ((F.col("rank") * F.col("size") >= least) | F.lit(least == 0)))
-        outside = now.where(F.col("c") != F.col("main"))
-        pivots = drawn.select("key", F.col("rep").alias("p"), F.col("c").alias("pc"))
-        a = outside.select("key", F.col("rep").alias("o"), F.col("c").alias("oc")).join(pivots, "key").where("oc != pc").select(F.greatest("o", "p").alias("x"), F.least("o", "p").alias("y"))
-        strays = drawn.where(F.col("c") != F.col("main")).select("key", F.col("rep").alias("p"), F.col("c").alias("pc"))
-        b = now.select("key", F.col("rep").alias("o"), F.col("c").alias("oc")).join(strays, "key").where("oc != pc").select(F.greatest("o", "p").alias("x"), F.least("o", "p").alias("y"))
-        pairs = a.union(b).distinct()
+        # Each table draws its pivots by the rank of a hash: those of earlier rounds are not drawn again.
+        rank = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("cleans")
+        drawn = now.where("clean").where(((rank < most) | (F.col("cleans") <= most)) & ((rank >= least) | F.lit(least == 0)))
+        pivots = drawn.select("key", *[F.col(c).alias(f"p_{c}") for c in ("rep", "c", "n", "s")], (F.col("c") != F.col("main")).alias("stray"))
+        # Of two components one at least is not the table's largest: a pivot of the largest meets the others only.
+        others = now.select("key", *[F.col(c).alias(f"o_{c}") for c in ("rep", "c", "n", "s")], (F.col("c") != F.col("main")).alias("outside"))
+        meet = (F.col("o_c") != F.col("p_c")) & _may_link(percent, "o_", "p_")
+        ends = [F.greatest("o_rep", "p_rep").alias("x"), F.least("o_rep", "p_rep").alias("y")]
+        of_main = others.where("outside").join(pivots.where("not stray"), (others["key"] == pivots["key"]) & meet).select(*ends)
+        of_strays = others.join(pivots.where("stray"), (others["key"] == pivots["key"]) & meet).select(*ends)
+        pairs = of_main.union(of_strays).distinct()
         more = scratch.keep(_verified(_plausible(pairs, single, percent, m), sets, percent), f"more-{at + 1}")
         links = links.union(more)
         scratch.free_shuffles()
