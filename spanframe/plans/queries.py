@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.functions import sequence as sq
-from spanframe.operators import coverage, genomics, intervals, islands, regions, statistics
+from spanframe.operators import coverage, genomics, intervals, islands, pairs, regions, statistics
+from spanframe.operators.alignment import align_columns
 from spanframe.streaming import tracks
 
 CHROMS = 997
@@ -415,3 +416,52 @@ def time_windows(s: SparkSession, d: str) -> DataFrame:
 def user_sessions(s: SparkSession, d: str) -> DataFrame:
     found = tracks.sessions(_t(s, d, "events"))
     return found.select("user_id", F.expr("unix_micros(start)").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+def _paired(s: SparkSession, d: str) -> DataFrame:
+    """Each order as a pair of feet: its own days, and a week that begins 100 days later."""
+    o = orders(s, d, "o_orderkey")
+    return o.select(F.col("o_orderkey").alias("id"), F.struct("chrom", "start", "end").alias("a"), F.struct("chrom", (F.col("start") + 100).alias("start"), (F.col("start") + 107).alias("end")).alias("b"))
+
+
+_HIT_A = f"EXISTS (SELECT 1 FROM {_I} t WHERE t.chrom = q.chrom AND t.s < q.e AND t.e > q.s)"
+_HIT_B = f"EXISTS (SELECT 1 FROM {_I} t WHERE t.chrom = q.chrom AND t.s < q.s + 107 AND t.e > q.s + 100)"
+
+
+@register("bedpe_either", f"SELECT o_orderkey AS id FROM {_O} q WHERE {_HIT_A} OR {_HIT_B}")
+def bedpe_either(s: SparkSession, d: str) -> DataFrame:
+    return pairs.pairs_hit(_paired(s, d), items(s, d)).select("id")
+
+
+@register("bedpe_both", f"SELECT o_orderkey AS id FROM {_O} q WHERE {_HIT_A} AND {_HIT_B}")
+def bedpe_both(s: SparkSession, d: str) -> DataFrame:
+    return pairs.pairs_hit(_paired(s, d), items(s, d), both=True).select("id")
+
+
+@register("interval_contacts", f"SELECT chrom, CAST(s + 100 AS BIGINT) AS start, CAST(s + 107 AS BIGINT) AS \"end\" FROM {_O} q WHERE {_HIT_A} UNION ALL SELECT chrom, CAST(s AS BIGINT), CAST(e AS BIGINT) FROM {_O} q WHERE {_HIT_B}")
+def interval_contacts(s: SparkSession, d: str) -> DataFrame:
+    return pairs.contacts_of(_paired(s, d), items(s, d))
+
+
+@register("motif_hits")
+def motif_hits(s: SparkSession, d: str) -> DataFrame:
+    matrix = [dict(zip("ACGT", x, strict=True)) for x in ((2.0, 0.5, 0.1, 0.0), (0.1, 1.5, 0.2, 0.3), (0.0, 0.4, 0.6, 1.8))]
+    names = _t(s, d, "part").select(F.col("p_partkey").cast("string").alias("name"), F.regexp_replace(F.upper("p_name"), "[^ACGT]", "").alias("seq"))
+    return pairs.motif_hits(names, matrix, 0.7)
+
+
+@register("global_alignment")
+def global_alignment(s: SparkSession, d: str) -> DataFrame:
+    """Each part's name against its type, as sequences of letters."""
+    return _t(s, d, "part").select("p_partkey", align_columns(F.col("p_name"), F.col("p_type")).alias("x")).select("p_partkey", "x.score", "x.cigar")
+
+
+@register("sliding_coverage")
+def sliding_coverage(s: SparkSession, d: str) -> DataFrame:
+    df = items(s, d)
+    return coverage.sliding_coverage(df, df.select("chrom").distinct().withColumn("size", F.lit(3000).cast("long")), 30)
+
+
+@register("digest")
+def digest(s: SparkSession, d: str) -> DataFrame:
+    return genomics.digest(_t(s, d, "part").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_name").alias("seq")), "an", 1)
