@@ -19,6 +19,8 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanframe.scratch import Scratch
+
 SPACE = r"[\x20\x09-\x0D]"
 KEEP_FROM = 0.5
 ROUNDS = 200
@@ -132,7 +134,8 @@ def fit_votes(measured: DataFrame) -> VoteModel:
 
 def judge_quality(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed, kept and posterior for each row of docs."""
-    measured = add_measures(docs.select("doc_id", "text")).drop("text")
+    # Measured once: the fit and the result read a few numbers for each row.
+    measured = Scratch(docs.sparkSession, "quality-rules").keep(add_measures(docs.select("doc_id", "text")).drop("text"), "measures")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = measured.withColumn("base_failed", failed).withColumn("posterior", fit_votes(measured).column())
     kept = ~F.col("base_failed") & (F.col("posterior") >= KEEP_FROM)

@@ -26,6 +26,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanframe.scratch import Scratch
+
 #: Kind, pattern, least length, and whether that counts the pattern's second group or the match.
 BASE = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, True),
@@ -159,8 +161,11 @@ def discovery_bins(candidates: DataFrame) -> list[int]:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """docs with ``__spans``: (start, end, rank) by start, then rank; rank counts BASE, then RANDOM."""
-    rows = with_candidates(docs)
+    """docs with ``__spans``: (start, rank, end) by start, then rank; rank counts BASE, then RANDOM."""
+    return _with_spans(with_candidates(docs))
+
+
+def _with_spans(rows: DataFrame) -> DataFrame:
     least = F.array(*[F.lit(b) for b in discovery_bins(rows)])
     secret = lambda c: (c["chance"] >= KEEP_CHANCE) & (_bin(c["ordinary"]) >= F.get(least, _length_class(c["n"])))
     extra = F.transform(F.filter("__tested", secret), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(len(BASE)).alias("rank")))
@@ -171,7 +176,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def secret_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans for each row of docs."""
     kinds = F.array(*[F.lit(b[0]) for b in BASE], F.lit(RANDOM))
-    found = find_secrets(docs.select("doc_id", "text"))
+    # Texts are searched once: the counts and the result read spans and candidates only.
+    seen = with_candidates(docs.select("doc_id", "text")).drop("text")
+    found = _with_spans(Scratch(docs.sparkSession, "secrets").keep(seen, "candidates"))
     base = F.filter("__spans", lambda s: s["rank"] < len(BASE))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda i: F.size(F.filter("__spans", lambda s: s["rank"] == i)).cast("long")
