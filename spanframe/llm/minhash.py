@@ -45,6 +45,7 @@ from spanframe.scratch import Scratch
 
 MISS = 1e-5
 FIRST_PIVOTS = 32
+LINEAR = 8
 BLOCK = 500
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -256,12 +257,16 @@ def _links(members: DataFrame, single: DataFrame, sets: DataFrame, percent: int,
         found = components(links, scratch, f"components-{at}")
         named = members.select("key", "rep", "n", "s", "clean").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
         per = named.groupBy("key", "c").agg(F.count("*").alias("held"), F.sum(F.col("clean").cast("int")).alias("clean"))
-        main = per.groupBy("key").agg(F.max_by("c", F.struct("held", "c")).alias("main"), F.count("*").alias("cs"), F.sum("clean").alias("cleans")).where(F.col("cs") > 1).where(F.col("cleans") > least).select("key", "main", "cleans")
-        now = scratch.keep(named.join(main, "key"), f"open-{at}")
+        main = per.groupBy("key").agg(F.max_by("c", F.struct("held", "c")).alias("main"), F.count("*").alias("cs"), F.sum("clean").alias("cleans"), F.sum("held").alias("all"), F.max("held").alias("most")).where(F.col("cs") > 1).where(F.col("cleans") > least)
+        main = scratch.keep(main, f"tables-{at}")
+        left, rows = main.agg(F.sum(F.col("cleans").cast("double") * (F.col("all") - F.col("most"))), F.sum("all")).first()
+        if rows is None:
+            return found
+        # Where all that is left grows no faster than the tables themselves, it is done at once.
+        most = most if left > LINEAR * rows else 1 << 60
+        now = scratch.keep(named.join(main.select("key", "main", "cleans"), "key"), f"open-{at}")
         if at:
             scratch.drop(f"open-{at - 1}")
-        if now.isEmpty():
-            return found
         # Each table draws its pivots by the rank of a hash: those of earlier rounds are not drawn again.
         rank = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("cleans")
         drawn = now.where("clean").where(((rank < most) | (F.col("cleans") <= most)) & ((rank >= least) | F.lit(least == 0)))
