@@ -18,17 +18,14 @@ from spanframe.llm import bpe, decontaminate, langid, minhash, secret_scan
 from spanframe.llm.queries import TOKENIZER
 from spanframe.scratch import Scratch
 
-#: A text is rejected if no language holds this share of its trigrams; clean texts of one language reach 0.8.
-LEAST_LANGUAGE = 0.4
-
 ORACLE_SQL = None  # SQL has no counterpart of the fitted language filters and of the tokenization automaton
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in a known language; the filters learn from all labelled rows of docs."""
+    """Keeps the documents in which a known language is found, whatever its share; the filters learn from all labelled rows of docs."""
     known = docs.select("text", "lang").where(F.col("lang").isNotNull())
     judged = langid.add_language(docs, langid.fit_languages(known))
-    return judged.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged.where(F.col("__lang") != langid.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

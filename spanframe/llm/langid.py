@@ -5,15 +5,16 @@ trigram is filed under a language if it makes up at least ``min_share`` of that
 share there is at least ``relative`` of its largest share in any language. The filed trigrams go into
 bit-sliced Bloom filters: one array of cells whose bits are languages, so that a look-up of a trigram's
 cells and one AND return all languages that hold it. A document is decided by the popcount of each language
-over the document's trigrams, corrected by the filter's false-positive rate for that language.
+over the document's trigrams, corrected by the filter's false-positive rate for that language. No language is
+found if false positives explain the best one's count: one trigram that is held is enough in a text of four.
 
 The model's size is fixed: by definition of a share no language files more than 1 / min_share trigrams, and
 the cells are sized from the number filed, so at most CELLS_PER_GRAM / min_share cells for each language.
 Training counts are aggregated before the shuffle (one row for each language and trigram and slice) and the
 driver receives the filed trigrams only.
 
-Defined results: ``und`` with score 0 for null texts, texts without a letter, and every text if nothing
-could be learned; ties go to the language that sorts first; null languages teach nothing; a null doc_id is
+Defined results: ``und`` with score 0 for null texts, texts without a letter, texts of which no language holds
+more than chance, and every text if nothing could be learned; ties go to the language that sorts first; null languages teach nothing; a null doc_id is
 not held out, and teaches nothing; repeated rows are judged alike; other columns are not read.
 """
 
@@ -32,8 +33,11 @@ from spanframe.llm._text import U, map_texts, mix
 
 MIN_SHARE = 2e-5
 RELATIVE = 0.5
-CELLS_PER_GRAM = 12
+#: With HASHES this makes one false positive in 10,000 trigrams of the language that files most.
+CELLS_PER_GRAM = 64
 HASHES = 3
+#: A count that false positives reach with at most this probability is evidence of a language.
+CHANCE = 1e-3
 UNKNOWN = "und"
 _CODES = 0x110000
 
@@ -72,12 +76,19 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _cells(grams: np.ndarray, size: int) -> list[np.ndarray]:
     h = mix(grams)
-    return [((h >> U(20 * i)) & U(0xFFFFF)).astype(np.int64) % size if size <= 1 << 20 else (mix(h + U(i)) % U(size)).astype(np.int64) for i in range(HASHES)]
+    return [((h >> U(20 * i)) & U(0xFFFFF)).astype(np.int64) % size if size <= 1 << 18 else (mix(h + U(i)) % U(size)).astype(np.int64) for i in range(HASHES)]
+
+
+def _improbable(count: np.ndarray, total: np.ndarray, p: float) -> np.ndarray:
+    """Minus the logarithm of Chernoff's bound on the probability of count or more hits of rate p in total."""
+    n, p = np.maximum(total, 1), min(max(p, 1e-12), 1 - 1e-12)
+    q = np.clip(count / n, p, 1)  # fewer hits than expected: 0
+    return n * (q * np.log(q / p) + (1 - q) * np.log(np.maximum(1 - q, 1e-300) / (1 - p)))
 
 
 @dataclass
 class LanguageFilters:
-    """languages: names by bit; cells: bit masks, 64 languages to a row; false_positives: rate by language."""
+    """languages: names by bit; cells: bit masks, up to 64 languages to a row; false_positives: rate by language."""
 
     languages: list[str]
     cells: np.ndarray
@@ -88,10 +99,11 @@ class LanguageFilters:
         names = sorted(filed)
         most = max((len(g) for g in filed.values()), default=1)
         size = max(1024, CELLS_PER_GRAM * most)
-        cells = np.zeros((-(-len(names) // 64) or 1, size), np.uint64)
+        kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(names) <= np.iinfo(k).bits), np.uint64)
+        cells = np.zeros((-(-len(names) // 64) or 1, size), kind)
         rates = np.zeros(len(names))
         for bit, name in enumerate(names):
-            row, mask = cells[bit // 64], U(1 << (bit % 64))
+            row, mask = cells[bit // 64], kind(1 << (bit % 64))
             for at in _cells(filed[name], size):
                 row[at] |= mask
             rates[bit] = np.mean((row & mask) != 0) ** HASHES
@@ -110,15 +122,16 @@ class LanguageFilters:
         if not self.languages or not len(grams):
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         held, total = self.holders(grams), np.bincount(doc, minlength=len(texts))
-        share = np.zeros((len(self.languages), len(texts)))
+        share, odd = np.zeros((2, len(self.languages), len(texts)))
         for bit in range(len(self.languages)):
             count = np.bincount(doc, (held[bit // 64] >> U(bit % 64)) & U(1), len(texts))
             p = self.false_positives[bit]
             share[bit] = (count - p * total) / max(1e-9, 1 - p)
+            odd[bit] = _improbable(count, total, p)
         share = np.clip(share / np.maximum(total, 1), 0, 1)
         best = share.argmax(0)
         top = share.max(0)
-        sure = has & (top > 0)
+        sure = has & (top > 0) & (np.take_along_axis(odd, best[None], 0)[0] >= -np.log(CHANCE))
         return [self.languages[b] if s else UNKNOWN for b, s in zip(best, sure, strict=True)], np.where(sure, top, 0.0)
 
 

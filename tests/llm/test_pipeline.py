@@ -70,3 +70,13 @@ def test_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, frames(spark, tmp_path, [], [])).count() == 0
 
 
+
+
+def test_short_clean_texts_stay(spark, tmp_path):
+    docs, _ = corpus()
+    docs = [d for d in docs if d[0] < 50]
+    foreign = "".join(chr(0x3042 + i % 80) + " " * (i % 7 == 0) for i in range(5000))
+    docs += [(60, "All rights reserved.", None), (61, "A.\nAll rights reserved.", None), (62, "the", None), (63, foreign, None)]
+    where = frames(spark, tmp_path, docs, [])
+    kept = corpus_pipeline.language(spark, spark.read.parquet(f"{where}/documents.parquet"), where)
+    assert {r["doc_id"] for r in kept.collect()} == {d[0] for d in docs} - {63}
