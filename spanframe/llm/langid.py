@@ -1,21 +1,22 @@
 """Language ID with language-bitmask n-gram filters.
 
 Fitting counts the letter trigrams of every labelled document, by language, over the whole training set. A
-trigram is filed under a language if it makes up at least ``min_share`` of that language's trigrams and its
-share there is at least ``relative`` of its largest share in any language. The filed trigrams go into
+trigram, however rare, is filed under a language if its share of that language's trigrams is at least
+``relative`` of its largest share in any language. The filed trigrams go into
 bit-sliced Bloom filters: one array of cells whose bits are languages, so that a look-up of a trigram's
 cells and one AND return all languages that hold it. A document is decided by the popcount of each language
 over the document's trigrams, corrected by the filter's false-positive rate for that language. No language is
 found if false positives explain the best one's count: one trigram that is held is enough in a text of four.
 
-The model's size is fixed: by definition of a share no language files more than 1 / min_share trigrams, and
-the cells are sized from the number filed, so at most CELLS_PER_GRAM / min_share cells for each language.
-Training counts are aggregated before the shuffle (one row for each language and trigram and slice) and the
-driver receives the filed trigrams only.
+The model follows the distinct trigrams of letters, which grow much slower than the texts: the cells are sized
+from the number filed by the language that files most. Training counts are aggregated before the shuffle (one
+row for each language and trigram and slice) and the driver receives the filed trigrams only, as Arrow columns
+of 12 bytes a trigram and language.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter, texts of which no language holds
-more than chance, and every text if nothing could be learned; ties go to the language that sorts first; null languages teach nothing; a null doc_id is
-not held out, and teaches nothing; repeated rows are judged alike; other columns are not read.
+more than chance, and every text if nothing could be learned; ties go to the language that sorts first; null
+languages teach nothing; a null doc_id is not held out, and teaches nothing; repeated rows are judged alike;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ from pyspark.sql import types as T
 
 from spanframe.llm._text import U, map_texts, mix
 
-MIN_SHARE = 2e-5
 RELATIVE = 0.5
 #: With HASHES this makes one false positive in 10,000 trigrams of the language that files most.
 CELLS_PER_GRAM = 64
@@ -140,7 +140,7 @@ def held_out(key: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit_languages(train: DataFrame, min_share: float = MIN_SHARE, relative: float = RELATIVE) -> LanguageFilters:
+def fit_languages(train: DataFrame, relative: float = RELATIVE) -> LanguageFilters:
     """Fits on the columns text and lang of all rows of train whose lang is not null."""
 
     def count(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -163,16 +163,18 @@ def fit_languages(train: DataFrame, min_share: float = MIN_SHARE, relative: floa
     totals = {r["lang"]: r["total"] for r in per_row.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
     if not totals:
         return LanguageFilters.build({})
-    total = F.create_map(*[F.lit(x) for pair in totals.items() for x in pair])
-    shares = F.transform("found", lambda f: F.struct(f["lang"].alias("lang"), (f["n"] / total[f["lang"]]).alias("share")))
+    names = sorted(totals)
+    known = F.create_map(*[F.lit(x) for at, k in enumerate(names) for x in (k, F.struct(F.lit(at).alias("at"), F.lit(totals[k]).alias("total")))])
+    shares = F.transform("found", lambda f: F.struct(known[f["lang"]]["at"].alias("at"), (f["n"] / known[f["lang"]]["total"]).alias("share")))
     filed = (
         kept.select("gram", shares.alias("found"))
         .select("gram", F.array_max(F.transform("found", lambda f: f["share"])).alias("top"), F.explode("found").alias("f"))
-        .where((F.col("f.share") >= min_share) & (F.col("f.share") >= relative * F.col("top")))
-        .groupBy("f.lang")
-        .agg(F.collect_list("gram").alias("grams"))  # at most 1 / min_share values
+        .where(F.col("f.share") >= relative * F.col("top"))
+        .select("gram", "f.at")
+        .toArrow()
     )
-    return LanguageFilters.build({r["lang"]: np.array(r["grams"], np.int64).view(np.uint64) for r in filed.collect()})
+    grams, at = filed["gram"].to_numpy().view(np.uint64), filed["at"].to_numpy()
+    return LanguageFilters.build({names[i]: grams[at == i] for i in np.unique(at)})
 
 
 def add_language(docs: DataFrame, model: LanguageFilters) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import brute
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,16 @@ def test_languages(spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in out.items() if i is not None)
 
 
+def test_a_large_alphabet_is_filed(spark):
+    r = random.Random(6)
+    texts = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(500)) for _ in range(160)]  # no trigram holds 2e-5 of them
+    train = spark.createDataFrame([(t, "zh") for t in texts] + [("the quick brown fox", "en")] * 9, "text string, lang string")
+    model = langid.fit_languages(train)
+    lang, score = model.judge(pa.array([texts[3], texts[70][40:52], "quick fox", "другой"]))
+    assert lang == ["zh", "zh", "en", "und"]
+    assert all(s > 0.7 for s in score[:3])
+
+
 def test_near_duplicates(docs):
     for k, percent in ((3, 85), (5, 80)):
         got = rows(minhash.near_duplicates(docs, k, percent), "n_shingles", "component_id")
