@@ -24,8 +24,6 @@ from spanframe.scratch import Scratch
 SPACE = r"[\x20\x09-\x0D]"
 KEEP_FROM = 0.5
 ROUNDS = 200
-#: Places of words take the low bits of a tagged hash: texts may have 2 ** 24 words.
-_PLACE = (1 << 24) - 1
 
 #: Name, condition for a good vote, condition for a bad one; neither: the rule abstains.
 RULES = (
@@ -39,12 +37,21 @@ RULES = (
 )
 
 
+def ranked(hashes: str) -> Column:
+    """Structs of each hash h of an array and its place i, in order: equal hashes are neighbours."""
+    return F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+
+def repeated(ranks: str) -> Column:
+    """The places, in order, of the hashes that a ranked array holds more than once."""
+    near = lambda i, h: F.coalesce(F.get(ranks, i)["h"] == h, F.lit(False))
+    return F.sort_array(F.transform(F.filter(ranks, lambda t, i: near(i - 1, t["h"]) | near(i + 1, t["h"])), lambda t: t["i"]))
+
+
 def add_measures(docs: DataFrame) -> DataFrame:
     """docs with the measures of each text under their own names; docs must not have columns of these names.
 
-    Windows of five words are compared by hash: the upper 40 bits, tagged with the window's place, are sorted,
-    which brings equal hashes together, and the full hashes of neighbours are compared. All of it stays in
-    one row; texts without equal windows skip it.
+    Windows of five words are compared by hash. All of it stays in one row; texts without equal windows skip it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumn("__text", text).withColumn("__words", F.filter(F.split("__text", f"{SPACE}+"), lambda w: w != ""))
@@ -64,20 +71,10 @@ def add_measures(docs: DataFrame) -> DataFrame:
         "__again": F.size(F.array_distinct("__h")) < F.size("__h"),
     }
     rows = rows.withColumns(counted)
-    tagged = F.sort_array(F.transform("__h", lambda h, i: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))))
-    rows = rows.withColumn("__tagged", F.when(F.col("__again"), tagged))
-    place = lambda t: t.bitwiseAND(F.lit(_PLACE)).cast("int")
-
-    def met(t: Column, i: Column) -> Column:
-        """Whether a window equals one of its two neighbours on either side."""
-        own = F.get("__h", place(t))
-        near = [F.coalesce(F.get("__h", place(F.get("__tagged", i + d))) == own, F.lit(False)) for d in (-1, 1, -2, 2)]
-        return near[0] | near[1] | near[2] | near[3]
-
-    rows = rows.withColumn("__starts", F.sort_array(F.transform(F.filter("__tagged", met), place)))
+    rows = rows.withColumn("__ranked", F.when(F.col("__again"), ranked("__h"))).withColumn("__starts", repeated("__ranked"))
     covered = F.aggregate(F.transform("__starts", lambda s, i: F.least(F.lit(5), F.coalesce(F.get("__starts", i + 1) - s, F.lit(5)))), F.lit(0), lambda a, b: a + b)
     rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return rows.drop("__text", "__words", "__lines", "__h", "__again", "__tagged", "__starts")
+    return rows.drop("__text", "__words", "__lines", "__h", "__again", "__ranked", "__starts")
 
 
 def votes() -> list[Column]:

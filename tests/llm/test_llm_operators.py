@@ -149,6 +149,13 @@ def test_quality_measures(docs):
     assert got == {i: brute.quality_measures(t) for i, t in corpus()}
 
 
+def test_repeats_are_found_among_like_hashes(spark):
+    top = 77 << 24  # all of these hashes share their upper 40 bits
+    hashes = [top + 9, top + 1, top + 2, top + 3, top + 9, -5, top + 4, top + 5, top + 6, top + 1]
+    df = spark.createDataFrame([(hashes,), ([],), (None,)], "h array<long>").withColumn("r", quality_rules.ranked("h"))
+    assert [x[0] for x in df.select(quality_rules.repeated("r")).collect()] == [[0, 1, 4, 9], [], None]
+
+
 def test_vote_model_finds_the_better_rules():
     r = random.Random(2)
     right, patterns = [0.95, 0.9, 0.85, 0.6, 0.9, 0.8, 0.75], {}
