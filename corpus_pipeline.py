@@ -29,12 +29,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates (five-word shingles, similarity 0.8) the least doc_id."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    # Rows that share a doc_id are copies of one document.
-    null = kept.where("doc_id is null")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(null)
+    """Keeps of each group of near duplicates (five-word shingles, similarity 0.8) the least doc_id.
+
+    Rows that share a doc_id are copies of one document if their texts are equal. Other texts under one doc_id
+    are documents of their own.
+    """
+    columns, known = [F.col(f"`{c}`") for c in docs.columns], docs.where("doc_id is not null")
+    said = F.coalesce(F.md5("text"), F.lit(""))
+    if known.groupBy("doc_id").agg(F.min(said).alias("a"), F.max(said).alias("b")).where("a <> b").isEmpty():
+        gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+        kept = docs.join(gone, "doc_id", "left_anti").select(*columns)
+        return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    # Each text gets an id of its own, and a group is left with its least doc_id.
+    texts = known.dropDuplicates(["doc_id", "text"]).withColumn("__node", F.monotonically_increasing_id())
+    texts = Scratch(spark, "near-dedup").keep(texts, "texts")
+    groups = minhash.near_duplicates(texts.select(F.col("__node").alias("doc_id"), "text")).select(F.col("doc_id").alias("__node"), "component_id")
+    named = groups.join(texts.select("__node", F.struct("doc_id", said.alias("said"), "__node").alias("name")), "__node")
+    least = named.groupBy("component_id").agg(F.min("name").alias("name")).select(F.col("name.__node").alias("__node"))
+    return texts.join(least, "__node", "left_semi").select(*columns).union(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

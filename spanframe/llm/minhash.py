@@ -26,8 +26,10 @@ The stages:
 All links are confirmed on the full sets. Nothing is collected but counts.
 
 Defined results: a document without words has an empty set, no links, and itself as component; a null
-doc_id has a null component and is kept; rows that share a doc_id count as one node and get one component;
-repeated rows repeat in the result; other columns are not read.
+doc_id has a null component and is kept; rows that share a doc_id count as one node and get one component; where
+their texts differ, links of the least doc_id of a set are found by its largest set only, so callers with such
+rows must give each text an id of its own, as the pipeline does; repeated rows repeat in the result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -184,7 +186,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = int(100 *
     signed = scratch.keep(signatures(docs, k, m), "signed")
     nodes = signed.where("n > 0 and doc_id is not null")
     classes = scratch.keep(nodes.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("halves").alias("halves")), "classes")
-    # Classes that share a doc_id are one node of the graph; links to it are found by any of its sets.
+    # Classes that share a doc_id are one node of the graph; links to it are found by its largest set.
     single = classes.groupBy("rep").agg(F.max_by("n", F.struct("n", "d1", "d2")).alias("n"), F.max_by("halves", F.struct("n", "d1", "d2")).alias("halves"))
     single = scratch.keep(single, "single")
     keys = scratch.keep(_table_keys(single, m), "keys")

@@ -80,3 +80,15 @@ def test_short_clean_texts_stay(spark, tmp_path):
     where = frames(spark, tmp_path, docs, [])
     kept = corpus_pipeline.language(spark, spark.read.parquet(f"{where}/documents.parquet"), where)
     assert {r["doc_id"] for r in kept.collect()} == {d[0] for d in docs} - {63}
+
+
+def test_other_texts_under_one_id_stay(spark, tmp_path):
+    r = random.Random(1)
+    a, b, c = (" ".join(r.choice(EN) for _ in range(80)) for _ in range(3))
+    docs = [(3, a, "en"), (5, b, "en"), (5, a + " end", "en"), (5, c, "en"), (5, c, "en"), (9, c + " end", "en"), (None, a, "en"), (7, None, "en"), (7, "", "en")]
+    where = frames(spark, tmp_path, docs, [])
+    table = spark.read.parquet(f"{where}/documents.parquet")
+    out = corpus_pipeline.near_dedup(spark, table, where)
+    assert out.columns == table.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (5, c), (None, a), (7, None), (7, "")], key=str)
