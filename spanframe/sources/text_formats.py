@@ -139,8 +139,15 @@ def read_wig(spark: SparkSession, path: str) -> DataFrame:
     """A fixed-step track as chrom, pos (zero-based), value; each file is parsed as a whole by its stretches.
 
     The header mark is the line separator, so a stretch is one record and large files split between stretches.
+    Lines that belong to no fixedStep stretch, as those of a variableStep one, are an error.
     """
-    raw = spark.read.option("lineSep", "fixedStep ").text(path).where(F.col("value").startswith("chrom="))
+    raw = spark.read.option("lineSep", "fixedStep ").text(path)
+    stretch = F.col("value").startswith("chrom=")
+    lines = F.split(F.when(stretch, F.regexp_replace("value", "^[^\n]*", "")).otherwise(F.col("value")), "\n")
+    aside = lambda x: x.rlike(r"^(\s*$|#|track\b|browser\b)")
+    strange = F.exists(lines, lambda x: ~aside(x) & ~(stretch & x.rlike(r"^[-+0-9.]\S*\s*$")))
+    bad = F.raise_error(F.lit("a WIG file holds lines outside fixedStep stretches; convert variableStep before reading")).cast("boolean")
+    raw = raw.where(F.when(strange, bad).otherwise(stretch))
     head = F.split_part("value", F.lit("\n"), F.lit(1))
     number = lambda key, default: F.coalesce(F.regexp_extract(head, f"{key}=([0-9]+)", 1).try_cast("long"), F.lit(default))
     body = F.filter(F.split(F.regexp_replace("value", "^[^\n]*\n?", ""), "\n"), lambda x: x.rlike("^[-+0-9.]"))

@@ -106,3 +106,13 @@ def test_formats(spark, tmp_path):
     assert (s["start"], s["end"], s["tags"]) == (2, 6, {"NM:i": "1"})
     g = made("x.gtf", 'c\ts\texon\t3\t9\t.\t-\t.\tgene_id "G1"; n "2";\n').first()
     assert (g["start"], g["end"], g["strand"], g["attributes"]) == (2, 9, "-", {"gene_id": "G1", "n": "2"})
+
+
+def test_wig_stretches_of_other_kinds_are_errors(spark, tmp_path):
+    fixed, variable = "fixedStep chrom=c start=3 step=2\n1\n2.5\n", "variableStep chrom=c\n10 1.5\n"
+    for k, text in enumerate((variable, variable + fixed, fixed + variable, "7\n" + fixed)):
+        (tmp_path / f"{k}.wig").write_text(text)
+        with pytest.raises(Exception, match="variableStep|fixedStep"):
+            tf.read(spark, str(tmp_path / f"{k}.wig")).collect()
+    (tmp_path / "x.wig").write_text("track type=wiggle_0\n# note\n\n" + fixed + "\n")
+    assert rows(tf.read(spark, str(tmp_path / "x.wig"))) == [("c", 2, 1.0), ("c", 4, 2.5)]
