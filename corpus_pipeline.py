@@ -61,8 +61,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and n_tokens of each document."""
-    return bpe.encode(docs, TOKENIZER).withColumn("n_tokens", F.size("ids").cast("long"))
+    """doc_id, ids, the text decoded from them, and n_tokens of each document."""
+    return bpe.encode_decode(docs, TOKENIZER).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
@@ -70,7 +70,7 @@ STAGES = [
     ("MinHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("secret scans", secrets),
-    ("BPE encoding", tokens),
+    ("BPE encoding and decoding", tokens),
 ]
 
 

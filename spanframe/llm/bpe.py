@@ -30,11 +30,12 @@ import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from spanframe.llm._text import map_texts
+from spanframe.llm._text import lists, map_texts
 
 #: What the library's split pattern and lower case know of Unicode, where Python's differ.
 NOT_LETTERS = (
@@ -280,6 +281,23 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return map_texts(docs.select("doc_id", "text"), "text", f"doc_id {kind}, ids array<int>", run)
 
 
+def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids (array of int) and decoded, the text that the ids stand for, for each row of docs, in one pass."""
+    said = docs.sparkSession.sparkContext.broadcast(load(path))
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        model, packed, decoded = _loaded(said.value), [], []
+        for t in part.column(1).to_pylist():
+            ids = model.encode(t)
+            packed.append(np.array(ids, np.int32))
+            decoded.append(model.decode(ids))
+        ids = lists(np.concatenate(packed), np.array([len(x) for x in packed]), pa.int32())
+        return pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_texts(docs.select("doc_id", "text"), "text", f"doc_id {kind}, ids array<int>, decoded string", run)
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text for rows of doc_id and ids; null ids give an empty text."""
     said = encoded.sparkSession.sparkContext.broadcast(load(path))

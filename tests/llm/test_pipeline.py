@@ -92,3 +92,12 @@ def test_other_texts_under_one_id_stay(spark, tmp_path):
     assert out.columns == table.columns
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
     assert got == sorted([(3, a), (5, b), (5, c), (None, a), (7, None), (7, "")], key=str)
+
+
+def test_the_last_stage_decodes(spark, tmp_path):
+    where = frames(spark, tmp_path, [(1, "The Cold  river, froze.", "en"), (2, None, "en")], [])
+    model = bpe.WordBpe(bpe.load(TOKENIZER))
+    out = corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(f"{where}/documents.parquet"), where)
+    got = {r["doc_id"]: (list(r["ids"]), r["n_tokens"], r["decoded"]) for r in out.collect()}
+    ids = model.encode("The Cold  river, froze.")
+    assert got == {1: (ids, len(ids), model.decode(ids)), 2: ([], 0, "")} and "cold</w> river" in got[1][2]
