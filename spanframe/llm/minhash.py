@@ -1,41 +1,42 @@
 """MinHash near-duplicates with tensored banding.
 
 A document's set holds the hashes of its distinct k-word shingles. Two small collections of ``m`` half keys
-each are computed, a half key being a pair of minhashes; a table key joins one half key of the left with
-one of the right collection, so m * m tables of four minhashes each cost 4 * m minhashes instead of
-4 * m * m. A pair of similarity s meets in some table unless one collection misses it, with probability of
-at most 2 * (1 - s * s) ** m; ``m`` is the least that keeps this under MISS at the threshold.
+each are computed, a half key being HALF minhashes; a table key joins one half key of the left with one of
+the right collection, so m * m tables of 2 * HALF minhashes each cost 2 * HALF * m minhashes instead of
+2 * HALF * m * m. A pair of similarity s meets in some table unless one collection misses it, with probability of
+at most 2 * (1 - s ** HALF) ** m; ``m`` is the least that keeps this under MISS at the threshold.
 
 The stages:
 
 1. One row-local pass makes signatures; documents with the same set (a 128-bit digest and the size) fall
    into one class, of which the least doc_id stands for all. Exact copies cost nothing further.
 2. Half keys that a single class has are dropped; only classes with a shared left and a shared right half
-   key form table keys.
-3. Of each set that shares a table, the shingles that no other such set has are counted. A pair shares at most
-   the rest, so two classes of which each has more than (1 - t) / (1 + t) own shingles cannot be linked, and in
-   a table only the others, the clean ones, need to be compared with all. A table's pivot is its cleanest
-   class, as the text that others vary is. In the first round each class is compared with one pivot, the
-   cleanest of its tables'. Sets are shipped once for each pair, a pivot's once for each block of partners.
-4. Components are found. Tables whose classes are not yet in one component go on: more and more of their clean
-   classes are compared with the members of other components, until every pair that can be linked has been
-   compared or is connected. A table of mutual copies ends after round one, however large.
-5. Before their sets are shipped, pairs are dropped whose sizes rule the threshold out, or which share so
-   few half keys that a pair over the threshold would do so with a probability under MISS.
-
-All links are confirmed on the full sets. Nothing is collected but counts.
+   key form table keys, and only classes that share a table go on.
+3. Of the sets of these classes, the shingles that two or more hold are counted. A class shares ``s`` of its n at
+   most with any other. A table's pivot is its cleanest class, with the largest s / n, as the text that others
+   vary is. Each class is compared with one pivot, the cleanest of its tables' that it can be linked with.
+4. What the pivots have left open is found by a rare-prefix join of the same classes. Shingles are ordered by
+   how many sets hold them. A pair that shares ``a`` shingles, a = ceil(t / (1 + t) * (n + n')) at least, has its first
+   common shingle at a place of n - a at most in one set and n' - a in the other. So each class lists its first places
+   with the sizes of partners that they allow (``lo`` to ``hi``), and meets others at (shingle, size class). Before the
+   classes meet, a place is dropped where all belong to one component, and a class there that no other component's
+   class allows. Groups that the pivots have joined so cost one pass over their lists, however large.
+5. Step 4 is done twice: first with one class of each component at each place, then, over the components that
+   have grown from that, with all. The second time compares every pair left, so no link between classes that
+   share tables with any others depends on chance.
+
+All links are confirmed on the full sets. A pair's sets travel to its comparison; a pivot's only once for each
+block of its partners. Nothing is collected but the counts that end the search for components.
 
 Defined results: a document without words has an empty set, no links, and itself as component; a null
 doc_id has a null component and is kept; rows that share a doc_id count as one node and get one component; where
 their texts differ, links of the least doc_id of a set are found by its largest set only, so callers with such
 rows must give each text an id of its own, as the pipeline does; repeated rows repeat in the result; other
-columns are not read.
+columns are not read; doc_id may be of any type that can be ordered.
 """
 
 from __future__ import annotations
 
-from math import comb
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,8 +47,7 @@ from spanframe.llm.components import components
 from spanframe.scratch import Scratch
 
 MISS = 1e-5
-FIRST_PIVOTS = 32
-LINEAR = 8
+HALF = 3
 BLOCK = 500
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -56,19 +56,11 @@ THRESHOLD = 0.8
 def tables_side(percent: int) -> int:
     """Half keys in each collection."""
     s, m = percent / 100, 1
-    while 2 * (1 - s * s) ** m > MISS:
+    while 2 * (1 - s**HALF) ** m > MISS:
         m += 1
     return m
 
 
-def least_shared(percent: int, m: int) -> int:
-    """A pair at the threshold shares fewer of its 2m half keys with a probability under MISS."""
-    p, below, k = (percent / 100) ** 2, 0.0, 0
-    while below + (q := comb(2 * m, k) * p**k * (1 - p) ** (2 * m - k)) < MISS:
-        below, k = below + q, k + 1
-    return max(1, k)
-
-
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     words = split_words(texts, "space", True)
@@ -91,14 +83,14 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def _half_keys(values: np.ndarray, starts: np.ndarray, side: int, m: int) -> np.ndarray:
-    """m columns of half keys, each of two minhashes, for the sets that begin at starts."""
+    """m columns of half keys, each of HALF minhashes, for the sets that begin at starts."""
     out = np.zeros((len(starts), m), np.uint64)
     for i in range(m):
-        pair = []
-        for j in range(2):
-            seed = int(mix(np.array([side * 1000 + i * 2 + j + 1], np.uint64))[0])
-            pair.append(np.minimum.reduceat((values ^ U(seed >> 1)) * U(seed | 1), starts))
-        out[:, i] = mix(mix(pair[0]) + pair[1] + U(side * m + i))
+        key = np.full(len(starts), U(side * m + i))
+        for j in range(HALF):
+            seed = int(mix(np.array([(side * 1000 + i) * HALF + j + 1], np.uint64))[0])
+            key = mix(key + np.minimum.reduceat((values ^ U(seed >> 1)) * U(seed | 1), starts))
+        out[:, i] = key
     return out
 
 
@@ -125,7 +117,7 @@ def signatures(docs: DataFrame, k: int, m: int) -> DataFrame:
 
 
 def _table_keys(classes: DataFrame, m: int) -> DataFrame:
-    """(key, rep, n, halves) for the tables that classes may share."""
+    """(key, rep) for the tables that classes may share."""
     halves = classes.select("rep", F.posexplode("halves").alias("at", "half"))
     shared = halves.groupBy("at", "half").agg(F.count("*").alias("c")).where("c > 1").select("at", "half")
     kept = halves.join(shared, ["at", "half"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("at", "half"))).alias("own"))  # 2m at most
@@ -170,15 +162,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int, m: int) -> DataFrame:
-    """Drops pairs by the sizes of their sets and by the half keys that they share."""
-    at = classes.select("rep", "n", "halves")
-    both = pairs.join(at.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("halves").alias("hx")), "x").join(at.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("halves").alias("hy")), "y")
-    shared = F.aggregate(F.zip_with("hx", "hy", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    fit = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent) & (shared >= least_shared(percent, m))
-    return both.where(fit).select("x", "y")
-
-
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = int(100 * THRESHOLD)) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id and kept."""
     spark, m = docs.sparkSession, tables_side(percent)
@@ -187,27 +170,29 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = int(100 *
     nodes = signed.where("n > 0 and doc_id is not null")
     classes = scratch.keep(nodes.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("halves").alias("halves")), "classes")
     # Classes that share a doc_id are one node of the graph; links to it are found by its largest set.
-    single = classes.groupBy("rep").agg(F.max_by("n", F.struct("n", "d1", "d2")).alias("n"), F.max_by("halves", F.struct("n", "d1", "d2")).alias("halves"))
+    single = classes.groupBy("rep").agg(F.max_by(F.struct("n", "halves"), F.struct("n", "d1", "d2")).alias("of")).select("rep", "of.n", "of.halves")
     single = scratch.keep(single, "single")
     keys = scratch.keep(_table_keys(single, m), "keys")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = scratch.keep(keys.join(sizes, "key"), "shared")
+    tables = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    shared = scratch.keep(keys.join(tables, "key"), "shared")
     scratch.drop("keys")
     sets = scratch.keep(_sets(docs, shared.select("rep").distinct(), single, k), "sets")
+    scratch.drop("single")
     scratch.free_shuffles()
-    ratio = F.col("s") / F.col("n")
-    counted = sets.groupBy("rep").agg(F.min(F.expr("octet_length(set) div 8")).alias("n"))
-    sizes = scratch.keep(counted.join(_own_shingles(sets), "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s")), "sizes")
-    ranked = shared.join(sizes, "rep").withColumn("clean", (100 + percent) * F.col("s") >= 2 * percent * F.col("n"))
-    rank = F.struct(ratio.alias("ratio"), -F.col("rep"))
-    best = ranked.groupBy("key").agg(F.max_by("rep", rank).alias("pivot"), F.max_by("n", rank).alias("pivot_n"), F.max_by("s", rank).alias("pivot_s"))
-    members = scratch.keep(ranked.join(best, "key"), "members")
+    listed = scratch.keep(_listed(sets, percent), "listed")
+    links = scratch.keep(_verified(_pivots(shared, listed, percent), sets, percent), "links-0")
     scratch.drop("shared")
     scratch.free_shuffles()
-    links = _links(members, single, sets, percent, m, scratch)
-    joined = links.select(F.col("node").alias("rep"), "component")
-    placed = classes.join(joined, "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("c"))
-    out = signed.join(placed, ["d1", "d2", "n"], "left")
+    found = components(links, scratch, "components-0")
+    for at, whole in ((1, False), (2, True)):
+        pairs = scratch.keep(_open_pairs(listed, found, percent, whole, scratch, f"open-{at}"), f"pairs-{at}")
+        more = _verified(pairs, sets, percent)
+        # Links between components join what their nodes already belong to.
+        joined = found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
+        found = components(joined, scratch, f"components-{at}")
+        scratch.free_shuffles()
+    placed = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("c"))
+    out = signed.select("doc_id", "n", "d1", "d2").join(placed, ["d1", "d2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -228,59 +213,80 @@ def _sets(docs: DataFrame, involved: DataFrame, single: DataFrame, k: int) -> Da
     return map_texts(texts, "text", f"rep {kind}, set binary", run)
 
 
-def _own_shingles(sets: DataFrame) -> DataFrame:
-    """(rep, own): how many shingles of each set no other set has. Batches are counted before the shuffle."""
+def _listed(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, s, first): the size of each set, how many of its shingles others hold, and those in its first places.
 
-    def run(batches):
+    ``first`` is in the order of all lists, the shingles held by fewest sets first; the n - s that no other set
+    holds come before. A set without shared shingles is left out.
+    """
+    kind = sets.schema["rep"].dataType.simpleString()
+
+    def counted(batches):
         for batch in batches:
-            reps, found = batch.column(0).to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
-            owner = np.repeat(reps, [len(x) for x in found])
-            h, first, n = np.unique(np.concatenate(found), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(owner[first], batch.schema.field(0).type)], ["h", "n", "rep"])
+            found = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)])
+            h, c = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
-    kind = sets.schema["rep"].dataType.simpleString()
-    counts = sets.select("rep", "set").mapInArrow(run, f"h long, n long, rep {kind}").groupBy("h").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
-    return counts.where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    def spread(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+                rep = batch.column(0).take(pa.array(np.full(len(h), i)))
+                yield pa.RecordBatch.from_arrays([rep, pa.array(np.full(len(h), len(h))), pa.array(h)], ["rep", "n", "h"])
+
+    held = sets.select("rep", "set").mapInArrow(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
+    each = sets.mapInArrow(spread, f"rep {kind}, n long, h long").join(held, "h")
+    # One text's shared shingles are gathered, not one shingle's texts. Repeated rows count once.
+    by_set = each.groupBy("rep", "n").agg(F.array_sort(F.collect_set(F.struct("c", "h"))).alias("all")).withColumn("s", F.size("all").cast("long"))
+    places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    least = F.greatest(F.lit(0), places - (F.col("n") - F.col("s")))
+    return by_set.select("rep", "n", "s", F.transform(F.slice("all", F.lit(1), least.cast("int")), lambda x: x["h"]).alias("first"))
 
 
 def _may_link(percent: int, x: str, y: str) -> Column:
-    """A pair shares at most the shingles that are not either's own: min(s) >= t / (1 + t) * (n + n) must hold."""
-    return (100 + percent) * F.least(f"{x}s", f"{y}s") >= percent * (F.col(f"{x}n") + F.col(f"{y}n"))
-
-
-def _links(members: DataFrame, single: DataFrame, sets: DataFrame, percent: int, m: int, scratch: Scratch) -> DataFrame:
-    """Components over all verified links of tables' members, as (node, component)."""
-    fit = (F.col("rep") != F.col("pivot")) & _may_link(percent, "", "pivot_")
-    best = F.max_by("pivot", F.struct(F.col("pivot_s") / F.col("pivot_n"), -F.col("pivot"))).alias("y")
-    first = members.where(fit).groupBy(F.col("rep").alias("x")).agg(best)
-    links = scratch.keep(_verified(_plausible(first, single, percent, m), sets, percent), "links-0")
-    at, least, most = 0, 0, FIRST_PIVOTS
-    while True:
-        found = components(links, scratch, f"components-{at}")
-        named = members.select("key", "rep", "n", "s", "clean").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-        per = named.groupBy("key", "c").agg(F.count("*").alias("held"), F.sum(F.col("clean").cast("int")).alias("clean"))
-        main = per.groupBy("key").agg(F.max_by("c", F.struct("held", "c")).alias("main"), F.count("*").alias("cs"), F.sum("clean").alias("cleans"), F.sum("held").alias("all"), F.max("held").alias("most")).where(F.col("cs") > 1).where(F.col("cleans") > least)
-        main = scratch.keep(main, f"tables-{at}")
-        left, rows = main.agg(F.sum(F.col("cleans").cast("double") * (F.col("all") - F.col("most"))), F.sum("all")).first()
-        if rows is None:
-            return found
-        # Where all that is left grows no faster than the tables themselves, it is done at once.
-        most = most if left > LINEAR * rows else 1 << 60
-        now = scratch.keep(named.join(main.select("key", "main", "cleans"), "key"), f"open-{at}")
-        if at:
-            scratch.drop(f"open-{at - 1}")
-        # Each table draws its pivots by the rank of a hash: those of earlier rounds are not drawn again.
-        rank = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("cleans")
-        drawn = now.where("clean").where(((rank < most) | (F.col("cleans") <= most)) & ((rank >= least) | F.lit(least == 0)))
-        pivots = drawn.select("key", *[F.col(c).alias(f"p_{c}") for c in ("rep", "c", "n", "s")], (F.col("c") != F.col("main")).alias("stray"))
-        # Of two components one at least is not the table's largest: a pivot of the largest meets the others only.
-        others = now.select("key", *[F.col(c).alias(f"o_{c}") for c in ("rep", "c", "n", "s")], (F.col("c") != F.col("main")).alias("outside"))
-        meet = (F.col("o_c") != F.col("p_c")) & _may_link(percent, "o_", "p_")
-        ends = [F.greatest("o_rep", "p_rep").alias("x"), F.least("o_rep", "p_rep").alias("y")]
-        of_main = others.where("outside").join(pivots.where("not stray"), (others["key"] == pivots["key"]) & meet).select(*ends)
-        of_strays = others.join(pivots.where("stray"), (others["key"] == pivots["key"]) & meet).select(*ends)
-        pairs = of_main.union(of_strays).distinct()
-        more = scratch.keep(_verified(_plausible(pairs, single, percent, m), sets, percent), f"more-{at + 1}")
-        links = links.union(more)
-        scratch.free_shuffles()
-        at, least, most = at + 1, most, most * 4
+    """What both sizes and the shared shingles of each allow."""
+    sizes = 100 * F.least(f"{x}n", f"{y}n") >= percent * F.greatest(f"{x}n", f"{y}n")
+    return sizes & ((100 + percent) * F.least(f"{x}s", f"{y}s") >= percent * (F.col(f"{x}n") + F.col(f"{y}n")))
+
+
+def _pivots(shared: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
+    """(x, y): each class of a table and the cleanest pivot of its tables that it can be linked with."""
+    ranked = shared.join(listed.select("rep", "n", "s"), "rep").withColumn("rank", F.struct(F.col("s") / F.col("n"), F.xxhash64("rep"), "rep"))
+    best = ranked.groupBy("key").agg(F.max_by(F.struct("rep", "n", "s", "rank"), "rank").alias("p")).select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("rep", "n", "s", "rank")])
+    fit = ranked.join(best, "key").where((F.col("rep") != F.col("p_rep")) & _may_link(percent, "", "p_"))
+    return fit.groupBy(F.col("rep").alias("x")).agg(F.max_by("p_rep", "p_rank").alias("y"))
+
+
+def _open_pairs(listed: DataFrame, found: DataFrame, percent: int, whole: bool, scratch: Scratch, name: str) -> DataFrame:
+    """(x, y): pairs of classes of different components that can be linked; of the components of a place one class each, or all."""
+    both, size_class = 100 + percent, lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / percent))).cast("int")
+    named = listed.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    placed = named.select("rep", "n", "s", "c", F.posexplode("first").alias("at", "h"))
+    n, s, after = F.col("n"), F.col("s"), F.col("s") - F.col("at")
+    # Sizes of partners that this place allows as the first common one: a = ceil(percent * (n + n') / both) shingles are left from here on in both.
+    hi = F.floor(F.least(after, s) * both / percent).cast("long") - n
+    entries = placed.select("rep", "n", "c", "h", F.ceil(n * percent / 100).cast("long").alias("lo"), hi.alias("hi")).where("hi >= lo")
+    # The larger of two, or of equals the one of the larger id, seeks; the other one waits in its size class.
+    seek = F.explode(F.sequence(size_class(F.col("lo")), size_class(F.least("hi", "n"))))
+    waits = entries.select("h", size_class(n).alias("b"), "c", "rep", "n", "lo", "hi", F.lit(False).alias("seeks"))
+    rows = waits.union(entries.select("h", seek.alias("b"), "c", "rep", "n", "lo", "hi", F.lit(True).alias("seeks")))
+    rows = scratch.keep(rows, f"{name}-rows")
+    waiting, seeking = F.when(~F.col("seeks"), F.col("hi")), F.when(F.col("seeks"), F.col("n"))
+    per = scratch.keep(rows.groupBy("h", "b", "c").agg(F.max(waiting).alias("hi"), F.min(seeking).alias("n")), f"{name}-per")
+    # The widest of those that wait and the smallest that seeks, and the same without these components.
+    top = per.groupBy("h", "b").agg(F.max_by("c", "hi").alias("c_hi"), F.max("hi").alias("hi_1"), F.min_by("c", "n").alias("c_n"), F.min("n").alias("n_1"), F.count("*").alias("cs")).where("cs > 1 and hi_1 is not null and n_1 is not null")
+    rest = per.join(top, ["h", "b"]).groupBy("h", "b").agg(F.max(F.when(F.col("c") != F.col("c_hi"), F.col("hi"))).alias("hi_2"), F.min(F.when(F.col("c") != F.col("c_n"), F.col("n"))).alias("n_2"))
+    bounds = top.join(rest, ["h", "b"]).drop("cs")
+    other_hi = F.when(F.col("c") == F.col("c_hi"), F.col("hi_2")).otherwise(F.col("hi_1"))
+    other_n = F.when(F.col("c") == F.col("c_n"), F.col("n_2")).otherwise(F.col("n_1"))
+    alive = rows.join(bounds, ["h", "b"]).where(F.when(F.col("seeks"), n <= other_hi).otherwise(F.col("hi") >= other_n))
+    alive = scratch.keep(alive.select(*rows.columns), f"{name}-alive")
+    a, b = alive.where("seeks").drop("seeks"), alive.where("not seeks").drop("seeks")
+    if not whole:
+        one = lambda df, rank: df.groupBy("h", "b", "c").agg(F.max_by(F.struct("rep", "n", "lo", "hi"), F.struct(rank, "rep")).alias("e")).select("h", "b", "c", "e.*")
+        a, b = one(a, F.col("hi") - F.col("n")), one(b, F.col("hi"))
+    a, b = (df.select("h", "b", *[F.col(c).alias(f"{side}_{c}") for c in ("c", "rep", "n", "lo", "hi")]) for df, side in ((a, "a"), (b, "b")))
+    larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_rep") > F.col("b_rep")))
+    allow = F.col("b_n").between(F.col("a_lo"), F.col("a_hi")) & (F.col("a_n") <= F.col("b_hi"))
+    met = a.join(b, (a["h"] == b["h"]) & (a["b"] == b["b"]) & (F.col("a_c") != F.col("b_c")) & larger & allow)
+    return met.select(F.col("a_rep").alias("x"), F.col("b_rep").alias("y")).distinct()

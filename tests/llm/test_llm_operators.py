@@ -110,11 +110,33 @@ def test_near_duplicates(docs):
         assert got == brute.near_duplicates(corpus(), k, percent)
 
 
+def varied(seed, n, words, most):
+    """Copies of one text with up to most words put in place of others, some cut short, around and under the threshold."""
+    r = random.Random(seed)
+    base = [r.choice("abcdefghij") + str(r.randrange(400)) for _ in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.randrange(most)):
+            w[r.randrange(words)] = f"new{r.randrange(60)}"
+        out.append(" ".join(w[: words - r.choice([0, 0, 0, words // 12, words // 6, words // 4])]))
+    return out
+
+
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_a_large_group_around_the_threshold(spark, ids):
+    """No link between different texts is lost in a group of which many are just under the threshold."""
+    said = [t for seed in range(3) for t in varied(seed, 130, 90, 9)]
+    docs = [(f"d{i:04}" if ids == "string" else i, t) for i, t in enumerate(said)]
+    df = spark.createDataFrame(docs, f"doc_id {ids}, text string")
+    got = rows(minhash.near_duplicates(df, 3, 85), "n_shingles", "component_id")
+    assert got == brute.near_duplicates(docs, 3, 85)
+
+
 def test_table_counts_keep_misses_rare():
     for percent in (80, 85, 95):
         m = minhash.tables_side(percent)
-        assert 2 * (1 - (percent / 100) ** 2) ** m <= minhash.MISS
-        assert 1 <= minhash.least_shared(percent, m) < m
+        assert 2 * (1 - (percent / 100) ** minhash.HALF) ** m <= minhash.MISS
 
 
 def test_substring_dedup(spark, docs):
