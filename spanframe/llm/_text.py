@@ -13,11 +13,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = U(0xD6E8FEB86659FD93)
@@ -63,7 +64,7 @@ def _power(base: int, n: int) -> np.ndarray:
         p = np.full(max(n, SLICE_BYTES + (SLICE_BYTES >> 2)), base, np.uint64)
         p[0] = 1
         have = np.multiply.accumulate(p)
-        if n <= 2 * SLICE_BYTES:
+        if n <= 4 * SLICE_BYTES:  # longer ones go with their text
             _powers[base] = have
     return have[:n]
 
@@ -132,24 +133,41 @@ def word_hashes(text: str, kind: str, lower: bool) -> np.ndarray:
     return split_words(pa.array([text]), kind, lower).hash
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts stay within SLICE_BYTES, or hold one text."""
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """A name from each stem that no column of df has, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name, k = f"__{stem}", 0
+        while name.lower() in taken:
+            name, k = f"__{stem}_{k}", k + 1
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """df's columns, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts stay within most bytes, or hold one text."""
     if batch.num_rows == 0:
         return
     _, off = utf8(batch.column(batch.schema.get_field_index(text)))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE_BYTES, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
 
 
-def map_texts(df: DataFrame, text: str, schema: T.StructType | str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
+def map_texts(df: DataFrame, text: str, schema: T.StructType | str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], most: int = SLICE_BYTES) -> DataFrame:
     """Applies fn to bounded slices of df's rows. Row-local: no shuffle, and a lost task is run again."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, most):
                 made = fn(part)
                 if made is not None and made.num_rows:
                     yield made

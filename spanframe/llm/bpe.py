@@ -7,15 +7,16 @@ state with an arc u to where v led. All arcs of one label lead to one state, so
 stands for it, and the automaton is kept as the arcs that gadgets took away with their times; an arc is
 looked up through the label's left halves and the state's right halves, and then kept in a transition table.
 
-A pre-split word is read by following arcs whose labels spell the next symbols, the longest first; the one
-path to the word's end holds its ids. Decoding emits the labels' texts.
+A pre-split word is read by following arcs whose labels spell the next symbols, the longest first; a place from which
+no arc leads on is left for good, and the one path to the word's end holds its ids. Decoding emits the labels' texts.
 
 The file is a tokenizers JSON of a BPE model with byte-level symbols and a word-end suffix (here lower case,
 white space dropped): special tokens are cut out first; then NFC, white space to one space, lower case of
 each code point, the file's split pattern, bytes to symbols. The vocabulary file is read on the executors
 from ``path`` or, where it is missing there, comes with the function.
 
-Memory: the automaton is fixed by the file; words' ids are kept for at most CACHE_WORDS words a worker.
+Memory: the automaton is fixed by the file; words' ids are kept for at most CACHE_WORDS words and as many chunks a worker.
+A word's cost is in proportion to its length, whatever its length: a label is sought no further than the longest one.
 
 Defined results: null and empty texts have no ids and decode to an empty text; ids outside the vocabulary
 are dropped in decoding; repeated rows repeat; other columns are not read.
@@ -27,6 +28,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -52,8 +54,8 @@ LOWER = {
     0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
     **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}, ord("Σ"): ord("σ"),
 }
-CACHE_WORDS = 300_000
-CACHE_ARCS = 300_000
+CACHE_WORDS = 60_000
+CACHE_ARCS = 150_000
 LONGEST_CACHED = 40
 
 
@@ -169,36 +171,52 @@ class WordBpe:
         self.automaton = Automaton(base.values(), [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         # Labels by their spelling: a trie of those inside a word (a node's own label under 0), and those at its end.
         known = {t: i for t, i in vocab.items() if i in self.automaton.born}
-        self.inner: dict = {}
+        # The trie is one flat table: (node, code of the next symbol) to node; label is a node's own label, or -1.
+        self.code = {s: k for k, s in enumerate(self.symbols)}
+        self.step: dict[int, int] = {}
+        label = array("i", [-1])
+        self.final, self.longest = {}, 0
         for t, i in known.items():
-            node = self.inner
+            if self.suffix and t.endswith(self.suffix):
+                spelt = t.removesuffix(self.suffix)
+                self.final[spelt] = i
+                self.longest = max(self.longest, len(spelt))
+                continue
+            node = 0
             for c in t:
-                node = node.setdefault(c, {})
-            node[0] = i
-        self.final = {t.removesuffix(self.suffix): i for t, i in known.items() if t.endswith(self.suffix)}
+                key = node << 8 | self.code[c]
+                node = self.step.setdefault(key, len(label))
+                if node == len(label):
+                    label.append(-1)
+            label[node] = i
+            if not self.suffix:
+                self.final[t] = i
+                self.longest = max(self.longest, len(t))
+        self.label = label
         self.found = _Generations(self._known)
         self.chunks = _Generations(self._of_chunk)
 
     def _word(self, word: str) -> list[int]:
-        spelt = "".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")])
-        n, allows, inner, final = len(spelt), self.automaton.allows, self.inner, self.final
+        codes = word.encode("utf-8", "surrogatepass")
+        spelt = "".join([self.symbols[b] for b in codes])
+        n, allows, step, labels, final, longest = len(spelt), self.automaton.allows, self.step, self.label, self.final, self.longest
         # One label at most leads to a place along valid arcs, so a place that leads nowhere is left for good.
         path: list[tuple[int, int]] = []
         dead: set[int] = set()
         at, most, state = 0, n, Automaton.START
         while True:
             if most == n:
-                label = final.get(spelt[at:])
+                label = final.get(spelt[at:]) if n - at <= longest else None
                 if label is not None and (state < 0 or allows(state, label)):
                     return [x for _, x in path] + [label]
                 most -= 1
-            ends, node = [], inner
+            ends, node = [], 0
             for to in range(at, most):
-                node = node.get(spelt[to])
+                node = step.get(node << 8 | codes[to])
                 if node is None:
                     break
-                if 0 in node:
-                    ends.append((to + 1, node[0]))
+                if labels[node] >= 0:
+                    ends.append((to + 1, labels[node]))
             for to, label in reversed(ends):
                 if to not in dead and (state < 0 or allows(state, label)):
                     path.append((at, label))

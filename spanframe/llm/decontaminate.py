@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanframe.llm import _text
-from spanframe.llm._text import U, map_texts, split_words
+from spanframe.llm._text import U, fresh, map_texts, own_columns, split_words
+from spanframe.scratch import Scratch
 
 WINDOW = 10
 SHINGLE = 3
@@ -165,26 +166,36 @@ def _hits(part: pa.RecordBatch, block: _Block, index) -> tuple[_text.Words, np.n
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+ADDED = ("__n_words", "__spans", "__items")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, names: tuple[str, ...] = ADDED) -> DataFrame:
     """docs (with a column text) and, added to each row, n_words, spans and items.
 
     spans: [begin, end) word ranges of all window occurrences, merged; items: ids of the items with a window
-    that occurs, distinct, sorted as strings. Their names are ``__n_words``, ``__spans`` and ``__items``.
+    that occurs, distinct, sorted as strings. Their names are ADDED, or what the caller gives; docs must not have them.
+
+    The windows are worked off in blocks, one at a time: what a block has found is written before the next is read.
     """
     windows = _item_windows(benchmark.select("item_id", "text"), window)
     ids = T.ArrayType(benchmark.schema["item_id"].dataType)
     n = windows.count()
     blocks = max(1, -(-n // block_windows))
-    out = docs
+    out, scratch = docs, Scratch(docs.sparkSession, "decontaminate")
     for b in range(blocks):
         own = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-        out = _mark(out, docs, _block(own.collect()), ids, first=b == 0)
+        out = _mark(out, docs, _block(own.collect()), ids, b == 0, names)
+        if b < blocks - 1:
+            out = scratch.keep(out, f"block-{b}")
+            if b:
+                scratch.drop(f"block-{b - 1}")
     return out
 
 
-def _mark(out: DataFrame, docs: DataFrame, block: _Block, ids: T.ArrayType, first: bool) -> DataFrame:
+def _mark(out: DataFrame, docs: DataFrame, block: _Block, ids: T.ArrayType, first: bool, names: tuple[str, ...]) -> DataFrame:
     index = _index(block, docs) if block.texts else {}
-    added = [T.StructField("__n_words", T.LongType()), T.StructField("__spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__items", ids)]
+    kinds = (T.LongType(), T.ArrayType(T.ArrayType(T.LongType())), ids)
+    added = [T.StructField(name, kind) for name, kind in zip(names, kinds, strict=True)]
     schema = T.StructType([*out.schema.fields, *added]) if first else out.schema
     width = len(out.columns) - (0 if first else len(added))
 
@@ -233,5 +244,6 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that hold no window of any benchmark item, with their own columns."""
-    found = find_contamination(docs, benchmark, window)
-    return found.where(F.size("__spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = fresh(docs, "n_words", "spans", "items")
+    found = find_contamination(docs, benchmark, window, names=tuple(names))
+    return found.where(F.size(names[1]) == 0).select(*own_columns(docs))

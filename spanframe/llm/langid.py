@@ -6,15 +6,17 @@ trigram, however rare, is filed under a language if its share of that language's
 bit-sliced Bloom filters: one array of cells whose bits are languages, so that a look-up of a trigram's
 cells and one AND return all languages that hold it. A document is decided by the popcount of each language
 over the document's trigrams, corrected by the filter's false-positive rate for that language. No language is
-found if false positives explain the best one's count: one trigram that is held is enough in a text of four.
+found if false positives explain the best one's count: one trigram that is held is enough in a text of four. A text
+with letters of which that holds gets the learned language whose filter holds most, or else the one with most
+training text, with score 0.
 
 The model follows the distinct trigrams of letters, which grow much slower than the texts: the cells are sized
 from the number filed by the language that files most. Training counts are aggregated before the shuffle (one
 row for each language and trigram and slice) and the driver receives the filed trigrams only, as Arrow columns
 of 12 bytes a trigram and language.
 
-Defined results: ``und`` with score 0 for null texts, texts without a letter, texts of which no language holds
-more than chance, and every text if nothing could be learned; ties go to the language that sorts first; null
+Defined results: ``und`` with score 0 for null texts, texts without a letter, and every text if nothing could be
+learned; a learned language for every other text; ties go to the language that sorts first; null
 languages teach nothing; a null doc_id is not held out, and teaches nothing; repeated rows are judged alike;
 other columns are not read.
 """
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanframe.llm._text import U, map_texts, mix
+from spanframe.llm._text import U, fresh, map_texts, mix, own_columns
 
 RELATIVE = 0.5
 #: With HASHES this makes one false positive in 10,000 trigrams of the language that files most.
@@ -39,6 +41,8 @@ HASHES = 3
 #: A count that false positives reach with at most this probability is evidence of a language.
 CHANCE = 1e-3
 UNKNOWN = "und"
+#: Bytes of text in a slice: an array of 8 bytes a character stays small.
+SLICE = 1 << 19
 _CODES = 0x110000
 
 
@@ -93,9 +97,10 @@ class LanguageFilters:
     languages: list[str]
     cells: np.ndarray
     false_positives: np.ndarray
+    usual: int = 0  # the language with most training text
 
     @classmethod
-    def build(cls, filed: dict[str, np.ndarray]) -> "LanguageFilters":
+    def build(cls, filed: dict[str, np.ndarray], totals: dict[str, int] | None = None) -> "LanguageFilters":
         names = sorted(filed)
         most = max((len(g) for g in filed.values()), default=1)
         size = max(1024, CELLS_PER_GRAM * most)
@@ -107,7 +112,8 @@ class LanguageFilters:
             for at in _cells(filed[name], size):
                 row[at] |= mask
             rates[bit] = np.mean((row & mask) != 0) ** HASHES
-        return cls(names, cells, rates)
+        usual = max(range(len(names)), key=lambda b: ((totals or {}).get(names[b], 0), -b), default=0)
+        return cls(names, cells, rates, usual)
 
     def holders(self, grams: np.ndarray) -> np.ndarray:
         """Bit masks of the languages whose filter holds each trigram."""
@@ -129,10 +135,10 @@ class LanguageFilters:
             share[bit] = (count - p * total) / max(1e-9, 1 - p)
             odd[bit] = _improbable(count, total, p)
         share = np.clip(share / np.maximum(total, 1), 0, 1)
-        best = share.argmax(0)
         top = share.max(0)
+        best = np.where(top > 0, share.argmax(0), self.usual)
         sure = has & (top > 0) & (np.take_along_axis(odd, best[None], 0)[0] >= -np.log(CHANCE))
-        return [self.languages[b] if s else UNKNOWN for b, s in zip(best, sure, strict=True)], np.where(sure, top, 0.0)
+        return [self.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], np.where(sure, top, 0.0)
 
 
 def held_out(key: Column, folds: int = 4, fold: int = 2) -> Column:
@@ -154,7 +160,7 @@ def fit_languages(train: DataFrame, relative: float = RELATIVE) -> LanguageFilte
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(b.num_rows for b in out) else None
 
     rows = train.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = map_texts(rows, "text", "lang string, gram long, n long", count).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_texts(rows, "text", "lang string, gram long, n long", count, SLICE).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_gram = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("found"))  # at most a row for each language
     from spanframe.scratch import Scratch
 
@@ -174,18 +180,25 @@ def fit_languages(train: DataFrame, relative: float = RELATIVE) -> LanguageFilte
         .toArrow()
     )
     grams, at = filed["gram"].to_numpy().view(np.uint64), filed["at"].to_numpy()
-    return LanguageFilters.build({names[i]: grams[at == i] for i in np.unique(at)})
+    return LanguageFilters.build({names[i]: grams[at == i] for i in np.unique(at)}, totals)
 
 
-def add_language(docs: DataFrame, model: LanguageFilters) -> DataFrame:
-    """docs with ``__lang`` and ``__score`` for each row, from its text alone."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+def add_language(docs: DataFrame, model: LanguageFilters, names: tuple[str, str] = ("__lang", "__score")) -> DataFrame:
+    """docs with the language and its score under the given names, which docs must not have, for each row, from its text alone."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         lang, score = model.judge(part.column(part.schema.get_field_index("text")))
         return pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=schema.names)
 
-    return map_texts(docs, "text", schema, run)
+    return map_texts(docs, "text", schema, run, SLICE)
+
+
+def keep_known(docs: DataFrame, model: LanguageFilters) -> DataFrame:
+    """The rows of docs in whose text a language is found beyond chance, with their own columns."""
+    lang, score = fresh(docs, "lang", "score")
+    judged = add_language(docs, model, (lang, score))
+    return judged.where((F.col(lang) != UNKNOWN) & (F.col(score) > 0)).select(*own_columns(docs))
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

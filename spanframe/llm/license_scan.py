@@ -92,16 +92,25 @@ def _anchors(t: Template, often: dict[str, int]) -> list[int]:
     return [i for _, i in rarest[: 1 if t.base or len(t.phrases[0][1]) == len(t.words) else ANCHORS]]
 
 
-def _places(number: int, t: Template, need: int) -> str:
-    """SQL for the verified places of a template, from the columns ``__hits`` and ``__words``."""
-    listed = lambda words: "array(" + ", ".join(f"'{w}'" for w in words) + ")"
-    size = len(t.words)
-    tests = [f"slice(__words, greatest(a, 0) + {start + 1}, {len(own)}) = {listed(own)}" for start, own in t.phrases]
-    if need > 1:
-        tests.insert(0, f"size(filter(__hits, h -> h.t = {number} and h.at = a)) >= {need}")
-    at = f"array_distinct(transform(filter(__hits, h -> h.t = {number}), h -> h.at))"
-    agreed = f"aggregate(zip_with(slice(__words, a + 1, {size}), {listed(t.words)}, (x, y) -> if(x = y, 1, 0)), 0, (n, x) -> n + x) / {size}D"
-    return f"transform(filter({at}, a -> a >= 0 and {' and '.join(tests)}), a -> struct({number} as t, cast(a as bigint) as at, {agreed} as agreed))"
+def _listed(words: tuple[str, ...]) -> str:
+    return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _places(templates: tuple[Template, ...], need: list[int]) -> tuple[str, str]:
+    """SQL for the candidate places in ``__hits``, ordered by (t, at), and for the verified of ``__places`` with ``__words``.
+
+    A place is a candidate where as many hits in a row agree as its template needs: one look at the last of them tells.
+    """
+    least = "array(" + ", ".join(map(str, need)) + ")"
+    hit = lambda i: f"get(__hits, {i})"
+    run = f"filter(sequence(0, size(__hits) - 1), i -> {hit('i')}.at >= 0 and not ({hit('i - 1')} <=> {hit('i')}) and {hit('i + get(' + least + ', ' + hit('i') + '.t) - 1')} <=> {hit('i')})"
+    places = f"if(size(__hits) > 0, transform({run}, i -> {hit('i')}), cast(array() as array<struct<t:int,at:int>>))"
+    tests = [" and ".join(f"slice(__words, a.at + {start + 1}, {len(own)}) = {_listed(own)}" for start, own in t.phrases) for t in templates]
+    verified = "filter(__places, a -> case a.t " + " ".join(f"when {i} then {test}" for i, test in enumerate(tests)) + " end)"
+    words = "case a.t " + " ".join(f"when {i} then {_listed(t.words)}" for i, t in enumerate(templates)) + " end"
+    size = "get(array(" + ", ".join(str(len(t.words)) for t in templates) + "), a.t)"
+    agreed = f"aggregate(zip_with(slice(__words, a.at + 1, {size}), {words}, (x, y) -> if(x = y, 1, 0)), 0, (n, x) -> n + x) / cast({size} as double)"
+    return places, f"transform({verified}, a -> struct(a.t as t, cast(a.at as bigint) as at, {agreed} as agreed))"
 
 
 def find_licenses(docs: DataFrame, templates: tuple[Template, ...] = (*BASE, *PASSAGES)) -> DataFrame:
@@ -124,11 +133,10 @@ def find_licenses(docs: DataFrame, templates: tuple[Template, ...] = (*BASE, *PA
     rows = words.withColumn("__rare", F.when(n > 0, rare).otherwise(F.array().cast("array<int>")))
     index = F.create_map(*[x for w, own in sorted(posted.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in own]))])
     hits = F.flatten(F.transform("__rare", lambda i: F.transform(index[word(i)], lambda p: F.struct(p["t"].alias("t"), (i - p["q"]).alias("at")))))
-    rows = rows.withColumn("__hits", F.when(F.size("__rare") > 0, hits))
-
-    found = F.expr("concat(" + ", ".join(_places(i, t, need[i]) for i, t in enumerate(templates)) + ")")
-    none = F.array().cast("array<struct<t:int,at:bigint,agreed:double>>")
-    return rows.withColumn("__found", F.when(F.size("__hits") > 0, found).otherwise(none)).select("doc_id", "__words", "__found")
+    none = F.array().cast("array<struct<t:int,at:int>>")
+    rows = rows.withColumn("__hits", F.when(F.size("__rare") > 0, F.sort_array(hits)).otherwise(none))
+    places, found = map(F.expr, _places(templates, need))
+    return rows.withColumn("__places", places).withColumn("__found", found).select("doc_id", "__words", "__found")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

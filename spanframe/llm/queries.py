@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 
 from spanframe.llm import bpe, decontaminate, langid, license_scan, minhash, quality_model, quality_rules, secret_scan, substring_dedup, url_filter
 
-TOKENIZER = os.environ.get("SPANFRAME_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
+
+
+def _tokenizer() -> str:
+    """The path of the vocabulary file, from the package of public tokenizers where it is installed."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return "/opt/tokenizers/word_bpe_49k.json"
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+TOKENIZER = os.environ.get("SPANFRAME_TOKENIZER") or str(_tokenizer())
 URL_RULES = [url_filter.parse_rule(*r) for r in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))]
 
 

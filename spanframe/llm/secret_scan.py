@@ -26,6 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanframe.llm._text import own_columns
 from spanframe.scratch import Scratch
 
 #: Kind, pattern, least length, and whether that counts the pattern's second group or the match.
@@ -40,6 +41,7 @@ SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_="
 RATE = 0.01
 KEEP_CHANCE = 1e-3
 BINS = 80
+CHUNK = 512
 #: Chance that two symbols of ordinary text are equal, for digits and for letters.
 DIGIT_COINCIDENCE, LETTER_COINCIDENCE = 0.15, 0.065
 LENGTHS = (20, 24, 32, 48, 64, 128, 1 << 30)
@@ -53,32 +55,45 @@ def _hints(text: Column) -> list[Column]:
     return [text.rlike(words), F.contains(text, F.lit("AKIA")), text.rlike(r"[0-9a-f]{24}")]
 
 
-def _matches(text: Column, pattern: str, hint: Column) -> Column:
-    """(start, end, said) of all leftmost non-overlapping matches, from the lengths of matches and gaps."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(hits, gaps, lambda m, g: F.struct(F.coalesce(m, F.lit("")).alias("m"), g.alias("g")))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,said:string>>>"
+def _with_matches(rows: DataFrame, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """rows with, under each name, the (start, end, said) of all leftmost non-overlapping matches of its pattern in ``__text``.
+
+    They come from the lengths of matches and gaps: a running total within chunks, and one of the chunks' sums, so that
+    a text's cost stays near its number of matches. Each step is a column that the next reads more than once, which
+    keeps it from being worked out again for each element.
+    """
+    hits = {f"{name}_h": F.when(hint, F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))) for name, (pattern, hint) in patterns.items()}
+    gaps = {f"{name}_g": F.when(hint, F.split("__text", pattern, -1)) for name, (pattern, hint) in patterns.items()}
+    pairs = {f"{name}_p": F.zip_with(f"{name}_h", f"{name}_g", lambda m, g: F.struct(F.coalesce(m, F.lit("")).alias("m"), g.alias("g"))) for name in patterns}
+    span = "array<struct<start:int,end:int,said:string>>"
+
+    def chunk(acc: Column, xs: Column) -> Column:
+        at = F.aggregate(xs, acc["at"], lambda a, x: a + F.length(x["g"]) + F.length(x["m"]))
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), xs.alias("xs")))).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
         end = start + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("said")))).alias("out"))
 
-    found = F.aggregate(F.slice(pairs, 1, F.size(hits)), F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind), step, lambda acc: acc["out"])
-    none = F.array().cast("array<struct<start:int,end:int,said:string>>")
-    return F.when(hint, found).otherwise(none)
-
+    def found(name: str) -> Column:
+        p = F.col(f"{name}_p")
+        n = F.size(p) - 1  # the last is the gap behind the last match
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda k: F.slice(p, k * CHUNK + 1, F.least(F.lit(CHUNK), n - k * CHUNK)))
+        none = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast("struct<at:int,out:array<struct<at:int,xs:array<struct<m:string,g:string>>>>>")
+        begun = F.aggregate(chunks, none, chunk, lambda acc: acc["out"])
+        spans = F.flatten(F.transform(begun, lambda c: F.aggregate(c["xs"], F.struct(c["at"].alias("at"), F.array().cast(span).alias("out")), step, lambda acc: acc["out"])))
+        return F.when(n > 0, spans).otherwise(F.array().cast(span))
 
-def _base_spans(text: Column) -> Column:
-    """(start, end, rank) of the known forms."""
-    hints = _hints(text)
+    seen = rows.withColumns({**hits, **gaps}).withColumns(pairs).withColumns({name: found(name) for name in patterns})
+    return seen.drop(*hits, *gaps, *pairs)
 
-    def kept(rank: int, pattern: str, least: int, group: bool) -> Column:
-        size = lambda m: F.length(F.regexp_extract(m["said"], pattern, 2) if group else m["said"])
-        found = F.filter(_matches(text, pattern, hints[rank]), lambda m: size(m) >= least)
-        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(rank).alias("rank")))
 
-    return F.concat(*[kept(i, *b[1:]) for i, b in enumerate(BASE)])
+def _base_span(rank: int, least: int, group: bool, pattern: str) -> Column:
+    """(start, end, rank) of the matches of a known form that are long enough."""
+    size = lambda m: F.length(F.regexp_extract(m["said"], pattern, 2) if group else m["said"])
+    found = F.filter(f"__of{rank}", lambda m: size(m) >= least)
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(rank).alias("rank")))
 
 
 def _tail(z: str, t: str) -> str:
@@ -96,13 +111,15 @@ def _steps() -> list[tuple[str, dict[str, str]]]:
     size = " + ".join([has("[0-9]", 10), has("[a-z]", 26), has("[A-Z]", 26), has("[-+/_]", 4), has("=", 1)])
     symbols = "array(" + ", ".join(f"'{x}'" for x in SYMBOLS) + ")"
     total = lambda over, what, by="x": f"aggregate(transform({over}, {by} -> {what}), 0D, (a, y) -> a + y)"
+    # The alphabet of the inferred encoding: the classes of symbols that the candidate uses, in their usual order.
+    classes = [f"if({test}, '{own}', '')" for test, own in (("c.said rlike '[0-9]'", SYMBOLS[:10]), (f"{hexa} and c.said rlike '[a-f]'", "abcdef"), (f"{hexa} and c.said rlike '[A-F]'", "ABCDEF"), (f"not ({hexa}) and c.said rlike '[A-Z]'", SYMBOLS[36:62]), (f"not ({hexa}) and c.said rlike '[a-z]'", SYMBOLS[10:36]), ("c.said rlike '[-+/_=]'", SYMBOLS[62:]))]
     high = "(x >= c.mean)"
     before = "get(c.v, i - 1)"
     zs = ("even", "runs", "serial", "ordinary")
     return [
-        ("start end said", {"n": "cast(length(c.said) as double)", "hexa": hexa}),
-        ("start end said n hexa", {"size": f"if(c.hexa, 16D, {size})", "letters": "c.said rlike '[A-Za-z]'"}),
-        ("start end n size", {"same": f"if(c.hexa or not c.letters, {DIGIT_COINCIDENCE}D, {LETTER_COINCIDENCE}D)", "squares": total(symbols, "power(c.n - length(replace(c.said, x, '')), 2)"), "v": f"transform(filter(split(c.said, ''), x -> x <> ''), x -> cast(instr('{SYMBOLS}', x) as double))"}),
+        ("start end said", {"n": "cast(length(c.said) as double)", "hexa": hexa, "alphabet": f"concat({', '.join(classes)})"}),
+        ("start end said n hexa alphabet", {"size": f"if(c.hexa, 16D, {size})", "letters": "c.said rlike '[A-Za-z]'"}),
+        ("start end n size", {"same": f"if(c.hexa or not c.letters, {DIGIT_COINCIDENCE}D, {LETTER_COINCIDENCE}D)", "squares": total(symbols, "power(c.n - length(replace(c.said, x, '')), 2)"), "v": f"transform(filter(split(c.said, ''), x -> x <> ''), x -> cast(instr(c.alphabet, x) as double))"}),
         ("start end n size same squares v", {"mean": total("c.v", "x") + " / c.n"}),
         ("start end n size same squares", {"high": total("c.v", f"if({high}, 1D, 0D)"), "turns": total("c.v", f"if(i > 0 and {high} <> ({before} >= c.mean), 1D, 0D)", "(x, i)") + " + 1D", "spread": total("c.v", "power(x - c.mean, 2)"), "lag": total("c.v", f"if(i > 0, (x - c.mean) * ({before} - c.mean), 0D)", "(x, i)")}),
         ("start end n turns spread", {"df": "greatest(c.size - 1D, 1D)", "chi": "greatest(c.size / c.n * c.squares - c.n, 1e-9D)", "expected": "2D * c.high * (c.n - c.high) / c.n + 1D", "r": "c.lag / greatest(c.spread, 1e-9D)", "moved": "c.n * greatest(c.size * c.same - 1D, 0D)"}),
@@ -126,13 +143,22 @@ def _steps() -> list[tuple[str, dict[str, str]]]:
 def with_candidates(docs: DataFrame) -> DataFrame:
     """docs with ``__base`` spans and ``__tested`` candidates outside them: start, end, n, chance, ordinary."""
     rows = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
-    rows = rows.withColumns({"__base": _base_spans(F.col("__text")), "__seen": _matches(F.col("__text"), CANDIDATE, F.col("__text").rlike(CANDIDATE))})
-    free = F.filter("__seen", lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = rows.withColumn("__tested", free)
+    hints = _hints(F.col("__text"))
+    forms = {f"__of{i}": (b[1], hints[i]) for i, b in enumerate(BASE)}
+    rows = _with_matches(rows, {**forms, "__seen": (CANDIDATE, F.col("__text").rlike(CANDIDATE))})
+    rows = rows.withColumn("__base", F.concat(*[_base_span(i, least, group, pattern) for i, (_, pattern, least, group) in enumerate(BASE)])).drop(*forms)
+    # Known spans in groups of CHUNK by their starts: a candidate looks into a group only if it touches its range.
+    first, n = F.array_sort("__base"), F.size("__sorted")
+    span = "array<struct<start:int,end:int,rank:int>>"
+    groups = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda k: F.slice("__sorted", k * CHUNK + 1, F.least(F.lit(CHUNK), n - k * CHUNK)))
+    ranged = F.transform(groups, lambda xs: F.struct(xs.alias("xs"), F.get(xs, F.lit(0))["start"].alias("lo"), F.array_max(F.transform(xs, lambda b: b["end"])).alias("hi")))
+    rows = rows.withColumn("__sorted", first).withColumn("__groups", F.when(n > 0, ranged).otherwise(F.array().cast(f"array<struct<xs:{span},lo:int,hi:int>>")))
+    touches = lambda c: F.exists("__groups", lambda g: (g["lo"] < c["end"]) & (c["start"] < g["hi"]) & F.exists(g["xs"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    rows = rows.withColumn("__tested", F.when(F.size("__groups") > 0, F.filter("__seen", lambda c: ~touches(c))).otherwise(F.col("__seen")))
     for kept, new in _steps():
         fields = [f"c.{k} as {k}" for k in kept.split()] + [f"{v} as {k}" for k, v in new.items()]
         rows = rows.withColumn("__tested", F.expr(f"transform(__tested, c -> struct({', '.join(fields)}))"))
-    return rows.drop("__text", "__seen")
+    return rows.drop("__text", "__seen", "__sorted", "__groups")
 
 
 def _length_class(n: Column) -> Column:
@@ -160,11 +186,6 @@ def discovery_bins(candidates: DataFrame) -> list[int]:
     return out
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """docs with ``__spans``: (start, rank, end) by start, then rank; rank counts BASE, then RANDOM."""
-    return _with_spans(with_candidates(docs))
-
-
 def _with_spans(rows: DataFrame) -> DataFrame:
     least = F.array(*[F.lit(b) for b in discovery_bins(rows)])
     secret = lambda c: (c["chance"] >= KEEP_CHANCE) & (_bin(c["ordinary"]) >= F.get(least, _length_class(c["n"])))
@@ -187,8 +208,13 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, mask: str = MASK) -> DataFrame:
-    """docs with each secret in text replaced by mask; touching and overlapping spans count as one."""
-    found = find_secrets(docs)
+    """docs with each secret in text replaced by mask; touching and overlapping spans count as one.
+
+    Texts are searched once; they are written with what was found, and the counts read that column only.
+    """
+    # The other columns travel in one, so that no name can clash.
+    packed = docs.select(F.struct(*own_columns(docs)).alias("row"), "text")
+    found = _with_spans(Scratch(docs.sparkSession, "redact").keep(with_candidates(packed), "candidates"))
     kind = "struct<at:int,parts:array<string>>"
 
     def step(acc: Column, s: Column) -> Column:
@@ -196,4 +222,5 @@ def redact_secrets(docs: DataFrame, mask: str = MASK) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["parts"]).otherwise(parts).alias("parts"))
 
     cut = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.array().alias("parts")).cast(kind), step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("__spans") > 0, cut).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    said = F.when(F.size("__spans") > 0, cut).otherwise(F.col("text"))
+    return found.select("row", said.alias("said")).select(*[F.col("said").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

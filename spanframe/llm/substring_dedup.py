@@ -47,6 +47,8 @@ from spanframe.scratch import Scratch
 WINDOW = 20
 GRAM = 8
 FANOUT = 2
+#: Bytes of text in a slice: what recurs within one is summed up before the shuffle.
+SLICE = 3 << 20
 _CTX = 0xC2B2AE3D27D4EB4F | 1
 
 
@@ -120,7 +122,7 @@ def _zone_rows(docs: DataFrame, window: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").where("doc_id is not null")
-    return map_texts(rows, "text", f"mark boolean, fp long, ctx long, doc_id {kind}, begin long, count long", run)
+    return map_texts(rows, "text", f"mark boolean, fp long, ctx long, doc_id {kind}, begin long, count long", run, SLICE)
 
 
 @contextmanager
@@ -249,7 +251,7 @@ class FingerprintIndex:
             return pa.RecordBatch.from_arrays([pa.array(h1[at].view(np.int64)), pa.array(mix(h2).view(np.int64)), ids, pa.array(at - words.first[who])], ["h1", "h2", "doc_id", "begin"])
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        found = self.scratch.keep(map_texts(texts, "text", f"h1 long, h2 long, doc_id {kind}, begin long", run), "windows")
+        found = self.scratch.keep(map_texts(texts, "text", f"h1 long, h2 long, doc_id {kind}, begin long", run, SLICE), "windows")
         first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.max(F.struct("doc_id", "begin")).alias("last")).where("first < last").drop("last")
         self.scratch.free_shuffles()
         later = found.join(first, ["h1", "h2"]).where(F.struct("doc_id", "begin") > F.col("first"))
@@ -282,7 +284,7 @@ class FingerprintIndex:
             return pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(words.first).astype(np.int64)), pa.array(removed), _joined(words, kept)], ["doc_id", "n_words", "n_removed", "kept_text"])
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        return map_texts(joined, "text", f"doc_id {kind}, n_words long, n_removed long, kept_text string", run)
+        return map_texts(joined, "text", f"doc_id {kind}, n_words long, n_removed long, kept_text string", run, SLICE)
 
 
 def _joined(words, kept: np.ndarray) -> pa.Array:

@@ -180,13 +180,13 @@ def test_repeats_are_found_among_like_hashes(spark):
 
 def test_vote_model_finds_the_better_rules():
     r = random.Random(2)
-    right, patterns = [0.95, 0.9, 0.85, 0.6, 0.9, 0.8, 0.75], {}
+    right, patterns = [0.95, 0.9, 0.85, 0.6, 0.9, 0.8, 0.75, 0.9, 0.7], {}
     for _ in range(4000):
         good = r.random() < 0.7
         vote = tuple(int(good == (r.random() < p)) if r.random() < 0.8 else None for p in right)
         patterns[vote] = patterns.get(vote, 0) + 1
     model = quality_rules.VoteModel.fit(sorted(patterns.items(), key=str))
-    assert abs(model.prior - 0.7) < 0.1 and model.right[0][0] > model.right[3][0]
+    assert abs(model.prior - 0.7) < 0.1 and model.accuracies()[0][0] > model.accuracies()[3][0]
 
 
 def test_quality_model(spark):
