@@ -13,8 +13,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanframe.llm import bpe, decontaminate, langid, minhash, secret_scan
+from spanframe.llm._text import fresh, own_columns
 from spanframe.llm.queries import TOKENIZER
 from spanframe.scratch import Scratch
 
@@ -24,8 +26,7 @@ ORACLE_SQL = None  # SQL has no counterpart of the fitted language filters and o
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in which a known language is found, whatever its share; the filters learn from all labelled rows of docs."""
     known = docs.select("text", "lang").where(F.col("lang").isNotNull())
-    judged = langid.add_language(docs, langid.fit_languages(known))
-    return judged.where(F.col("__lang") != langid.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return langid.keep_known(docs, langid.fit_languages(known))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,19 +35,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share a doc_id are copies of one document if their texts are equal. Other texts under one doc_id
     are documents of their own.
     """
-    columns, known = [F.col(f"`{c}`") for c in docs.columns], docs.where("doc_id is not null")
+    columns, known = own_columns(docs), docs.where("doc_id is not null")
     said = F.coalesce(F.md5("text"), F.lit(""))
-    if known.groupBy("doc_id").agg(F.min(said).alias("a"), F.max(said).alias("b")).where("a <> b").isEmpty():
+    many = known.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(said).alias("a"), F.max(said).alias("b")).where("rows > 1")
+    many = Scratch(spark, "near-dedup").keep(many, "repeated")
+    if many.where("a <> b").isEmpty():
         gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
         kept = docs.join(gone, "doc_id", "left_anti").select(*columns)
-        return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+        repeated = many.select("doc_id")
+        return kept.join(repeated, "doc_id", "left_anti").select(*columns).union(_one_of_each(kept.join(repeated, "doc_id", "left_semi").select(*columns), "doc_id"))
     # Each text gets an id of its own, and a group is left with its least doc_id.
-    texts = known.dropDuplicates(["doc_id", "text"]).withColumn("__node", F.monotonically_increasing_id())
+    (node,) = fresh(docs, "node")
+    texts = _one_of_each(known, "doc_id", "text").withColumn(node, F.monotonically_increasing_id())
     texts = Scratch(spark, "near-dedup").keep(texts, "texts")
-    groups = minhash.near_duplicates(texts.select(F.col("__node").alias("doc_id"), "text")).select(F.col("doc_id").alias("__node"), "component_id")
-    named = groups.join(texts.select("__node", F.struct("doc_id", said.alias("said"), "__node").alias("name")), "__node")
-    least = named.groupBy("component_id").agg(F.min("name").alias("name")).select(F.col("name.__node").alias("__node"))
-    return texts.join(least, "__node", "left_semi").select(*columns).union(docs.where("doc_id is null"))
+    groups = minhash.near_duplicates(texts.select(F.col(node).alias("doc_id"), "text")).select(F.col("doc_id").alias(node), "component_id")
+    named = groups.join(texts.select(node, F.struct("doc_id", said.alias("said"), F.col(node).alias("node")).alias("name")), node)
+    least = named.groupBy("component_id").agg(F.min("name").alias("name")).select(F.col("name.node").alias(node))
+    return texts.join(least, node, "left_semi").select(*columns).union(docs.where("doc_id is null"))
+
+
+def _one_of_each(docs: DataFrame, *keys: str) -> DataFrame:
+    """One row for each value of the keys: the one whose other columns hash least, so the choice is the same every time."""
+    hashed = [c for c, field in zip(own_columns(docs), docs.schema.fields, strict=True) if not isinstance(field.dataType, (T.MapType, T.VariantType))]
+    best = docs.groupBy(*keys).agg(F.min_by(F.struct(*own_columns(docs)), F.xxhash64(*hashed)).alias("row"))
+    return best.select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
