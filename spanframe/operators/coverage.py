@@ -51,7 +51,9 @@ def sliding_coverage(df: DataFrame, sizes: DataFrame, window: int) -> DataFrame:
 
 
 def region_values(regions: DataFrame, track: DataFrame, tile: int = 256) -> DataFrame:
-    """Least, largest and mean track value inside each region: region columns, low, high, mean, positions.
+    """For each row of regions: its coordinates, the least, largest and mean track value inside, and their number, positions.
+
+    A region without a value has nulls and 0 positions; equal regions each have a row.
 
     Regions are cut at tiles, which bounds a region's rows by its length over the tile; the tiles are joined on
     (chrom, tile).
@@ -60,7 +62,9 @@ def region_values(regions: DataFrame, track: DataFrame, tile: int = 256) -> Data
     cut = keys.where("end > start").select("*", F.explode(F.sequence(F.expr(f"start div {tile}"), F.expr(f"(end - 1) div {tile}"))).alias("tile"))
     points = track.select(F.col("chrom").alias("c"), "pos", "value", F.expr(f"pos div {tile}").alias("t"))
     met = cut.join(points, (F.col("chrom") == F.col("c")) & (F.col("tile") == F.col("t")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
-    return met.groupBy("chrom", "start", "end").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.count("*").alias("positions"))
+    found = met.groupBy("chrom", "start", "end").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.count("*").alias("positions"))
+    out = regions.select("chrom", "start", "end").join(found, ["chrom", "start", "end"], "left")
+    return out.select("chrom", "start", "end", "low", "high", "mean", F.coalesce("positions", F.lit(0)).cast("long").alias("positions"))
 
 
 def smooth(track: DataFrame, window: int, last_window: bool = True) -> DataFrame:

@@ -3,11 +3,13 @@
 An interval view is a DataFrame with columns chrom, start, end: half-open, zero-based. Queries are the left
 side, targets the right. Relations are stated on closed ends: the query is [x, y], the target [a, b].
 
-Overlap joins become equi-joins on (chrom, level, bin). Bins of three sizes are used; an interval belongs to
-the least level whose bins it spans at most SPAN of (the coarsest takes the rest), and is listed at its own
-and all coarser levels. A pair meets at the coarser of its two levels, in the first bin that both touch, so it is
-found once, and no interval makes more rows than SPAN + 1 for each level, however long. Relations that
-fix an end are plain equi-joins on it.
+Overlap joins become equi-joins on (chrom, level, bin, role). The sizes of the bins follow the intervals' lengths, which
+one small aggregation counts by powers of two: the finest bin is about as long as the usual interval, each further level's
+is FACTOR times as long, and there are as many levels as the longest interval needs. An interval's own level is the
+least whose bins it spans at most SPAN + 1 of, so it makes no more rows than that on a level, however long. On its own
+level it hosts; on the coarser levels that the other side has hosts on, it visits. Hosts meet hosts and visitors meet hosts
+of one bin; two visitors never meet. A pair so is found on the coarser of its two levels only, in the first bin that both
+touch. Relations that fix an end are plain equi-joins on it.
 
 An interval of length zero or less overlaps nothing.
 """
@@ -17,10 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BIN = 64
-FACTOR = 64
-LEVELS = 3
-SPAN = 16
+FACTOR = 8
+SPAN = 4
 
 #: SQL of each relation over the target's closed ends a, b and the query's x, y.
 RELATIONS = {
@@ -53,20 +53,53 @@ def as_intervals(df: DataFrame, chrom: Column | str, start: Column | str, end: C
     return df.select(col(chrom).cast("string").alias("chrom"), col(start).cast("long").alias("start"), col(end).cast("long").alias("end"), *keep)
 
 
-def _binned(df: DataFrame, base: int) -> DataFrame:
-    """One row for each level and bin of an interval; ``__own`` is its own level."""
-    size = lambda level: base * FACTOR**level
-    spans = lambda level: F.expr(f"(end - 1) div {size(level)} - start div {size(level)}")
-    own = F.lit(LEVELS - 1)
-    for level in range(LEVELS - 2, -1, -1):
-        own = F.when(spans(level) < SPAN, F.lit(level)).otherwise(own)
-    rows = df.where("end > start").withColumn("__own", own)
-    listed = [_leveled(level, size(level)) for level in range(LEVELS)]
-    return rows.select("*", F.inline(F.concat(*listed)).alias("__level", "__bin"))
+def _power(start: Column, end: Column) -> Column:
+    """The power of two that a length reaches."""
+    return F.floor(F.log2((end - start).cast("double"))).cast("int")
 
 
-def _leveled(level: int, size: int) -> Column:
-    return F.expr(f"if(__own <= {level}, transform(sequence(start div {size}, (end - 1) div {size}), b -> struct({level} as level, b as bin)), cast(array() as array<struct<level:int,bin:bigint>>))")
+class _Bins:
+    """Bin sizes for two sides, and the levels on which each has hosts."""
+
+    def __init__(self, queries: DataFrame, targets: DataFrame):
+        side = lambda df, k: df.where("end > start").select(F.lit(k).alias("k"), _power(F.col("start"), F.col("end")).alias("p"))
+        counts = side(queries, 0).union(side(targets, 1)).groupBy("k", "p").agg(F.count("*").alias("n")).collect()  # at most 64 powers a side
+        n = sum(r["n"] for r in counts)
+        self.base = 1 + round(sum(r["p"] * r["n"] for r in counts) / n) if n else 0
+        self.hosts = [sorted({self._own(r["p"]) for r in counts if r["k"] == k}) for k in (0, 1)]
+
+    def size(self, level: int) -> int:
+        return 1 << self.base + level * (FACTOR.bit_length() - 1)
+
+    def _own(self, power: int) -> int:
+        """The level of lengths under 2 ** (power + 1)."""
+        return max(0, -(-(power + 1 - self.base - (SPAN.bit_length() - 1)) // (FACTOR.bit_length() - 1)))
+
+    def listed(self, df: DataFrame, side: int) -> DataFrame:
+        """One row for each level, bin and role of an interval.
+
+        Role 0 joins a query's hosts to targets of the same or finer levels, role 1 targets' hosts to queries of finer ones.
+        """
+        own = F.greatest(F.lit(0), F.ceil((_power(F.col("start"), F.col("end")) + 1 - self.base - (SPAN.bit_length() - 1)) / (FACTOR.bit_length() - 1))).cast("int")
+        parts = []
+        for level in sorted({*self.hosts[0], *self.hosts[1]}):
+            bins = f"sequence(start div {self.size(level)}, (end - 1) div {self.size(level)})"
+            roles = []
+            if level in self.hosts[side]:
+                roles.append((f"__own = {level}", side))
+            if level in self.hosts[1 - side]:
+                # A query visits hosts that are coarser than it; a target also meets those of its own level.
+                roles.append((f"__own {'<' if side == 0 else '<='} {level}", 1 - side))
+            parts += [f"if({test}, transform({bins}, b -> struct({level} as level, b as bin, {role} as role)), cast(array() as array<struct<level:int,bin:bigint,role:int>>))" for test, role in roles]
+        listed = F.expr(f"concat({', '.join(parts)})" if parts else "cast(array() as array<struct<level:int,bin:bigint,role:int>>)")
+        return df.where("end > start").withColumn("__own", own).select("*", F.inline(listed).alias("__level", "__bin", "__role")).drop("__own")
+
+    def first(self) -> Column:
+        """The first bin that both of a pair touch, on the level where they meet."""
+        out = F.lit(None).cast("long")
+        for level in {*self.hosts[0], *self.hosts[1]}:
+            out = F.when(F.col("q___level") == level, F.expr(f"greatest(q_start, t_start) div {self.size(level)}")).otherwise(out)
+        return out
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -81,7 +114,7 @@ def _relation(relation: str) -> Column:
     return F.expr(" ".join(ends.get(w, w) for w in sql.split(" ")))
 
 
-def overlap_join(queries: DataFrame, targets: DataFrame, relation: str = "any", threshold: float | None = None, reciprocal: float | None = None, bin_size: int = BIN) -> DataFrame:
+def overlap_join(queries: DataFrame, targets: DataFrame, relation: str = "any", threshold: float | None = None, reciprocal: float | None = None) -> DataFrame:
     """All pairs in the relation, the query's columns as q_*, the target's as t_*.
 
     threshold: least share of the query that the single target covers; reciprocal: of both.
@@ -98,28 +131,56 @@ def overlap_join(queries: DataFrame, targets: DataFrame, relation: str = "any",
         for target, query in _FIXED[relation]:
             on = on & (ends[target] == ends[query])
         return _thresholds(q.join(t, on & holds), threshold, reciprocal)
-    q, t = _prefixed(_binned(queries, bin_size), "q_"), _prefixed(_binned(targets, bin_size), "t_")
-    first = F.expr(f"greatest(q_start, t_start) div ({bin_size} * cast(power({FACTOR}, q___level) as bigint))")
-    same = (F.col("q_chrom") == F.col("t_chrom")) & (F.col("q___level") == F.col("t___level")) & (F.col("q___bin") == F.col("t___bin"))
-    once = (F.greatest("q___own", "t___own") == F.col("q___level")) & (F.col("q___bin") == first)
-    pairs = q.join(t, same & once & holds).drop(*[f"{p}__{c}" for p in ("q_", "t_") for c in ("own", "level", "bin")])
+    bins = _Bins(queries, targets)
+    q, t, same = _met(queries, targets, bins)
+    pairs = q.join(t, same & (F.col("q___bin") == bins.first()) & holds).drop(*[f"{p}__{c}" for p in ("q_", "t_") for c in ("level", "bin", "role")])
     return _thresholds(pairs, threshold, reciprocal)
 
 
-def _thresholds(pairs: DataFrame, threshold: float | None, reciprocal: float | None) -> DataFrame:
+def _met(queries: DataFrame, targets: DataFrame, bins: _Bins) -> tuple[DataFrame, DataFrame, Column]:
+    q, t = _prefixed(bins.listed(queries, 0), "q_"), _prefixed(bins.listed(targets, 1), "t_")
+    same = F.col("q_chrom") == F.col("t_chrom")
+    for c in ("level", "bin", "role"):
+        same = same & (F.col(f"q___{c}") == F.col(f"t___{c}"))
+    return q, t, same
+
+
+def _covers(threshold: float | None, reciprocal: float | None) -> Column:
     shared = overlap_length(F.col("q_start"), F.col("q_end"), F.col("t_start"), F.col("t_end"))
+    out, q, t = F.lit(True), F.col("q_end") - F.col("q_start"), F.col("t_end") - F.col("t_start")
     if threshold is not None:
-        pairs = pairs.where(shared >= threshold * (F.col("q_end") - F.col("q_start")))
+        out = out & (shared >= threshold * q)
     if reciprocal is not None:
-        pairs = pairs.where((shared >= reciprocal * (F.col("q_end") - F.col("q_start"))) & (shared >= reciprocal * (F.col("t_end") - F.col("t_start"))))
-    return pairs
+        out = out & (shared >= reciprocal * q) & (shared >= reciprocal * t)
+    return out
 
 
-def _matched(queries: DataFrame, targets: DataFrame, **options) -> DataFrame:
-    """Coordinates of the queries with a partner. Whether one has is a matter of its coordinates alone."""
-    keys = queries.select("chrom", "start", "end").distinct()
-    found = overlap_join(keys, targets.select("chrom", "start", "end").distinct(), **options)
-    return found.select(F.col("q_chrom").alias("chrom"), F.col("q_start").alias("start"), F.col("q_end").alias("end")).distinct()
+def _thresholds(pairs: DataFrame, threshold: float | None, reciprocal: float | None) -> DataFrame:
+    return pairs if threshold is None and reciprocal is None else pairs.where(_covers(threshold, reciprocal))
+
+
+def _matched(queries: DataFrame, targets: DataFrame, relation: str = "any", threshold: float | None = None, reciprocal: float | None = None) -> DataFrame:
+    """Coordinates of the queries with a partner. Whether one has is a matter of its coordinates alone.
+
+    No pairs are made: a query's search ends at its first partner.
+    """
+    keys = queries.where("end > start").select("chrom", "start", "end").distinct()
+    targets = targets.where("end > start").select("chrom", "start", "end").distinct()
+    holds = _relation(relation) & _covers(threshold, reciprocal)
+    named = [F.col(f"q_{c}").alias(c) for c in ("chrom", "start", "end")]
+    if relation in ("lt", "gt") and threshold is None and reciprocal is None:
+        # Some target lies before a query if the one that ends first does, and after it if the one that begins last does.
+        ends = targets.groupBy("chrom").agg(F.min(F.col("end") - 1).alias("b"), F.max("start").alias("a"))
+        return keys.join(ends, "chrom").where("b < start" if relation == "lt" else "a > end - 1").select("chrom", "start", "end")
+    if relation in _FIXED or relation in ("lt", "gt"):
+        q, t = _prefixed(keys, "q_"), _prefixed(targets, "t_")
+        ends = {"a": F.col("t_start"), "b": F.col("t_end") - 1, "x": F.col("q_start"), "y": F.col("q_end") - 1}
+        on = F.col("q_chrom") == F.col("t_chrom")
+        for target, query in _FIXED.get(relation, ()):
+            on = on & (ends[target] == ends[query])
+        return q.join(t, on & holds, "left_semi").select(*named)
+    q, t, same = _met(keys, targets, _Bins(keys, targets))
+    return q.join(t, same & holds, "left_semi").select(*named).distinct()
 
 
 def overlapping(queries: DataFrame, targets: DataFrame, **options) -> DataFrame:

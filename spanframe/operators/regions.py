@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanframe.operators.prefix import ranged, running
+
 
 def midpoint(df: DataFrame) -> DataFrame:
     """The one position in the middle, rounded down."""
@@ -98,15 +100,16 @@ def distance_to_named(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def fdr_by_rank(df: DataFrame, value: str = "value") -> DataFrame:
-    """df with fdr: rows whose value is at least as large, over all rows, times nothing else.
+    """df with fdr: value is -log10 of a probability, fdr that of the probability times (rows / rank), 0 at least.
 
-    The values' counts are aggregated first, so the window runs over distinct values; they are ordered in
-    ranges by Spark and the running totals are joined back.
+    A value's rank is the number of rows with a value at least as large. Values are counted first, so distinct values
+    are ranked, in ranges.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("__n"))
-    w = Window.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("rank", F.sum("__n").over(w)).drop("__n")
-    return df.join(ranked, value).crossJoin(df.agg(F.count("*").alias("total"))).withColumn("fdr", F.col("rank") / F.col("total")).drop("total")
+    order = [F.col(value).desc()]
+    counts = ranged(df.groupBy(value).agg(F.count("*").alias("__n")), order, "fdr")
+    ranks = running(counts, order, {"rank": ("sum", F.col("__n"))}).select(value, "rank")
+    total = F.broadcast(df.agg(F.count("*").alias("total")))  # one row
+    return df.join(ranks, value).crossJoin(total).withColumn("fdr", F.greatest(F.lit(0.0), F.col(value) - F.log10(F.col("total") / F.col("rank")))).drop("total")
 
 
 def coordinate_sort(df: DataFrame, *ties: str) -> DataFrame:

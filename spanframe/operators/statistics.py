@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanframe.functions import numbers
 from spanframe.operators.intervals import overlapping
+from spanframe.operators.prefix import ranged, running
 
 
 def assembly_stats(lengths: DataFrame) -> DataFrame:
@@ -16,8 +17,8 @@ def assembly_stats(lengths: DataFrame) -> DataFrame:
     """
     counts = lengths.groupBy("length").agg(F.count("*").alias("n"))
     totals = counts.agg(F.sum(F.col("length") * F.col("n")).alias("total"), F.sum("n").alias("contigs"), F.max("length").alias("largest"))
-    w = Window.orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("bases", F.sum(F.col("length") * F.col("n")).over(w)).withColumn("taken", F.sum("n").over(w)).crossJoin(F.broadcast(totals))
+    order = [F.col("length").desc()]
+    run = running(ranged(counts, order, "lengths"), order, {"bases": ("sum", F.col("length") * F.col("n")), "taken": ("sum", F.col("n"))}).crossJoin(F.broadcast(totals))
     # The first length at which half of all bases is reached; of its contigs as many as are needed.
     hit = run.where("2 * bases >= total").agg(F.max_by(F.struct("length", "n", "bases", "taken", "total", "contigs", "largest"), "length").alias("x")).select("x.*")
     more = F.floor((F.col("bases") * 2 - F.col("total")) / (2 * F.col("length")))
@@ -27,10 +28,10 @@ def assembly_stats(lengths: DataFrame) -> DataFrame:
 def benjamini_hochberg(df: DataFrame, p: str = "p") -> DataFrame:
     """df with q, the adjusted probability. Distinct probabilities are ranked, not rows."""
     counts = df.groupBy(p).agg(F.count("*").alias("__n"))
-    up = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("__rank", F.sum("__n").over(up)).crossJoin(F.broadcast(df.agg(F.count("*").alias("__m"))))
-    adjusted = ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__rank")).over(down))).select(p, "q")
+    order = [F.col(p)]
+    ranked = running(ranged(counts, order, "probabilities"), order, {"rank": ("sum", F.col("__n"))}).crossJoin(F.broadcast(df.agg(F.count("*").alias("m"))))
+    raised = ranked.withColumn("x", F.col(p) * F.col("m") / F.col("rank"))
+    adjusted = running(raised, [F.col(p).desc()], {"least": ("min", F.col("x"))}, backward=True).select(p, F.least(F.lit(1.0), "least").alias("q"))
     return df.join(adjusted, p)
 
 

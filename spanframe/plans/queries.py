@@ -46,6 +46,15 @@ _O = f"(SELECT CAST(o_custkey % {CHROMS} AS VARCHAR) AS chrom, date_diff('day',
 _T = "(SELECT event_type AS chrom, epoch_us(ts) // 60000000 AS pos, round(avg(value), 4) AS value FROM events GROUP BY ALL)"
 
 
+def daily(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem as a track with runs of consecutive positions: mean quantity by return flag and ship day."""
+    day = F.datediff("l_shipdate", F.lit(DAY0).cast("date")).cast("long")
+    return _t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("chrom"), day.alias("pos")).agg(F.round(F.avg("l_quantity"), 4).alias("value"))
+
+
+_DAILY = f"(SELECT l_returnflag AS chrom, date_diff('day', DATE '{DAY0}', CAST(l_shipdate AS DATE)) AS pos, round(avg(l_quantity), 4) AS value FROM lineitem GROUP BY ALL)"
+
+
 def _kind(k: str) -> str:
     return f"(SELECT CAST(user_id % 10 AS VARCHAR) AS chrom, epoch_us(ts) // 60000000 AS pos, round(avg(value), 4) AS value FROM events WHERE event_type = '{k}' GROUP BY ALL)"
 
@@ -219,16 +228,16 @@ def window_coverage(s: SparkSession, d: str) -> DataFrame:
     return coverage.window_coverage(df, df.select("chrom").distinct(), 30)
 
 
-@register("region_values", f"SELECT q.chrom, q.s AS start, q.e AS \"end\", round(min(value), 4) AS low, round(max(value), 4) AS high, round(avg(value), 6) AS mean, count(*) AS positions FROM (SELECT event_type AS chrom, epoch_us(ts) // 60000000 AS s, epoch_us(ts) // 60000000 + 5 + event_id % 60 AS e FROM events GROUP BY ALL) q JOIN {_T} t ON q.chrom = t.chrom AND t.pos >= q.s AND t.pos < q.e GROUP BY ALL")
+@register("region_values", f"SELECT q.chrom, q.s AS start, q.e AS \"end\", round(min(value), 4) AS low, round(max(value), 4) AS high, round(avg(value), 6) AS mean, count(value) AS positions FROM (SELECT event_id AS id, event_type AS chrom, epoch_us(ts) // 60000000 + event_id % 3 AS s, epoch_us(ts) // 60000000 + 5 + event_id % 60 AS e FROM events) q LEFT JOIN {_T} t ON q.chrom = t.chrom AND t.pos >= q.s AND t.pos < q.e GROUP BY q.id, q.chrom, q.s, q.e")
 def region_values(s: SparkSession, d: str) -> DataFrame:
     start = F.expr("unix_micros(cast(ts as timestamp)) div 60000000")
-    found = coverage.region_values(intervals.as_intervals(_t(s, d, "events"), "event_type", start, start + 5 + F.col("event_id") % 60), track(s, d))
+    found = coverage.region_values(intervals.as_intervals(_t(s, d, "events"), "event_type", start + F.col("event_id") % 3, start + 5 + F.col("event_id") % 60), track(s, d))
     return found.select("chrom", "start", "end", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), F.round("mean", 6).alias("mean"), "positions")
 
 
-@register("track_smooth", f"SELECT chrom, f + 2 AS pos, round(v, 5) AS value FROM (SELECT chrom, pos, lag(pos, 4) OVER w AS f, avg(value) OVER (PARTITION BY chrom ORDER BY pos ROWS 4 PRECEDING) AS v FROM {_T} WINDOW w AS (PARTITION BY chrom ORDER BY pos)) WHERE pos - f = 4")
+@register("track_smooth", f"SELECT chrom, f + 2 AS pos, round(v, 5) AS value FROM (SELECT chrom, pos, lag(pos, 4) OVER w AS f, avg(value) OVER (PARTITION BY chrom ORDER BY pos ROWS 4 PRECEDING) AS v FROM {_T} WINDOW w AS (PARTITION BY chrom ORDER BY pos)) WHERE pos - f = 4".replace(_T, _DAILY))
 def track_smooth(s: SparkSession, d: str) -> DataFrame:
-    return coverage.smooth(track(s, d), 5).select("chrom", "pos", F.round("value", 5).alias("value"))
+    return coverage.smooth(daily(s, d), 5).select("chrom", "pos", F.round("value", 5).alias("value"))
 
 
 def _combined(op: str, sql: str) -> None:
@@ -317,7 +326,7 @@ for _op, _sql in {"plus": "v + w", "minus": "v - w", "times": "v * w", "divideBy
     _math(_op, _sql)
 
 
-@register("fdr_by_rank", "SELECT p_partkey, p_size AS value, round(r / t, 9) AS fdr FROM (SELECT p_partkey, p_size, count(*) OVER (ORDER BY p_size DESC RANGE UNBOUNDED PRECEDING) * 1.0 AS r, count(*) OVER () AS t FROM part)")
+@register("fdr_by_rank", "SELECT p_partkey, p_size AS value, round(greatest(0.0, p_size - log10(t / r)), 9) AS fdr FROM (SELECT p_partkey, p_size, count(*) OVER (ORDER BY p_size DESC RANGE UNBOUNDED PRECEDING) * 1.0 AS r, count(*) OVER () AS t FROM part)")
 def fdr_by_rank(s: SparkSession, d: str) -> DataFrame:
     return regions.fdr_by_rank(_t(s, d, "part").select("p_partkey", F.col("p_size").alias("value"))).select("p_partkey", "value", F.round("fdr", 9).alias("fdr"))
 

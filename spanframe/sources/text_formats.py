@@ -101,8 +101,8 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq of each record; records may span lines. The record mark is the line separator."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.length("value") > 0)
+    """name, seq of each record; records may span lines. A mark at a line's start separates records, one elsewhere is text."""
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.length("value") > 0)
     return raw.select(F.trim(F.split_part("value", F.lit("\n"), F.lit(1))).alias("name"), F.regexp_replace(F.regexp_replace("value", "^[^\n]*\n?", ""), "[\r\n]", "").alias("seq"))
 
 

@@ -1,5 +1,7 @@
 """Small cases of the other operators, each with a hand-made answer."""
 
+import math
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,22 @@ def test_wig_stretches_of_other_kinds_are_errors(spark, tmp_path):
             tf.read(spark, str(tmp_path / f"{k}.wig")).collect()
     (tmp_path / "x.wig").write_text("track type=wiggle_0\n# note\n\n" + fixed + "\n")
     assert rows(tf.read(spark, str(tmp_path / "x.wig"))) == [("c", 2, 1.0), ("c", 4, 2.5)]
+
+
+def test_marks_inside_a_name_do_not_split_it(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">a x>y\nAC\nGT\n>b\nN\n")
+    assert rows(tf.read(spark, str(tmp_path / "x.fa"))) == [("a x>y", "ACGT"), ("b", "N")]
+
+
+def test_running_totals_over_many_ranges(spark):
+    r = random.Random(8)
+    values = [round(r.expovariate(0.7), 2) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, value double").repartition(6)
+    got = {x["id"]: x["fdr"] for x in regions.fdr_by_rank(df).collect()}
+    for i, v in enumerate(values):
+        assert got[i] == pytest.approx(max(0.0, v - math.log10(len(values) / sum(w >= v for w in values))))
+    p = [min(1.0, abs(v) / 5) for v in values]
+    q = {x["id"]: x["q"] for x in statistics.benjamini_hochberg(spark.createDataFrame(list(enumerate(p)), "id int, p double")).collect()}
+    rank = {x: sum(y <= x for y in p) for x in p}
+    for i, x in enumerate(p):
+        assert q[i] == pytest.approx(min(1.0, min(y * len(p) / rank[y] for y in p if y >= x)))
