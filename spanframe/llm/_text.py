@@ -172,7 +172,9 @@ def map_texts(df: DataFrame, text: str, schema: T.StructType | str, fn: Callable
                 if made is not None and made.num_rows:
                     yield made
 
-    return df.mapInArrow(run, schema)
+    # Spark itself cannot look up names with dots here; slices carry others in their place.
+    safe = [c if c.replace("_", "").isalnum() else f"__plain_{i}" for i, c in enumerate(df.columns)]
+    return (df if safe == df.columns else df.toDF(*safe)).mapInArrow(run, schema)
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -69,6 +69,39 @@ def test_license_passages(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def plain_labels(text, templates, often):
+    """labels and score by trying every place of every template."""
+    words, labels, score = brute.alnum_words(text), set(), 0.0
+    for t in templates:
+        rarest = sorted(set(t.words), key=lambda w: (often[w], t.words.index(w)))
+        anchors = [t.words.index(w) for w in rarest[: 1 if t.base or len(t.phrases[0][1]) == len(t.words) else license_scan.ANCHORS]]
+        for at in range(len(words)):
+            agree = sum(at + q < len(words) and words[at + q] == t.words[q] for q in anchors)
+            if 2 * agree >= len(anchors) and all(tuple(words[at + s : at + s + len(own)]) == own for s, own in t.phrases):
+                labels.add(t.label)
+                score = max(score, sum(x == y for x, y in zip(words[at : at + len(t.words)], t.words)) / len(t.words))
+    return ",".join(sorted(labels)), pytest.approx(score)
+
+
+def test_labels_are_those_of_every_place(spark):
+    r, templates = random.Random(7), (*license_scan.BASE, *license_scan.PASSAGES)
+    texts = []
+    for i in range(120):
+        words = []
+        for _ in range(r.randrange(1, 5)):
+            own = list(r.choice(templates).words)
+            for _ in range(r.randrange(0, 4)):
+                own[r.randrange(len(own))] = r.choice(["x", "license", "the", "gnu"])
+            words += [*own[r.choice([0, 0, 0, 1]) :], *r.choices(WORDS, k=r.randrange(4))]
+        texts.append((i, " ".join(words)))
+    texts += [(900, None), (901, ""), (902, "licensed under the gnu general public license version " * 3000)]
+    df = frame(spark, texts)
+    often = license_scan.document_frequencies(license_scan.with_words(df), templates)
+    got = rows(license_scan.scan_licenses(df), "labels", "score")
+    assert {i: got[i] for i, _ in texts[:-1]} == {i: plain_labels(t, templates, often) for i, t in texts[:-1]}
+    assert got[902] == ("gpl", 1.0)
+
+
 def test_contamination(spark, docs):
     texts = dict(corpus())
     items = [(10, texts[1]), (2, "MIT license"), (3, " ".join(texts[1].split()[5:40])), (4, None), (None, "zeta"), (5, "...")]
@@ -100,8 +133,39 @@ def test_a_large_alphabet_is_filed(spark):
     train = spark.createDataFrame([(t, "zh") for t in texts] + [("the quick brown fox", "en")] * 9, "text string, lang string")
     model = langid.fit_languages(train)
     lang, score = model.judge(pa.array([texts[3], texts[70][40:52], "quick fox", "другой"]))
-    assert lang == ["zh", "zh", "en", "und"]
-    assert all(s > 0.7 for s in score[:3])
+    assert lang == ["zh", "zh", "en", "zh"]  # a text of unknown letters gets the language with most text, without a score
+    assert all(s > 0.7 for s in score[:3]) and score[3] == 0
+
+
+def plain_trigrams(text):
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in f" {text or ''} ")
+    return [low[i : i + 3] for i in range(len(low) - 2) if low[i + 1] != " "]
+
+
+def test_languages_are_those_of_exact_counts(spark):
+    """Against shares of trigrams filed in plain dictionaries, without filters."""
+    r = random.Random(12)
+    syllables = {"aa": ["ba", "lo", "ti"], "bb": ["ba", "ßu", "kre"], "cc": ["ño", "ti", "kre", "éo"]}
+    texts = [(i, " ".join("".join(r.choices(syllables[k], k=r.randrange(1, 4))) for _ in range(r.randrange(1, 40))), k) for i, k in enumerate(r.choices(list(syllables), k=150))]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = rows(langid.identify_languages(df), "lang_pred", "score")
+    counts = {k: {} for k in syllables}
+    for i, t, k in texts:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            for g in plain_trigrams(t):
+                counts[k][g] = counts[k].get(g, 0) + 1
+    share = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    top = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
+    for i, t, _ in texts:
+        grams = plain_trigrams(t)
+        held = {k: sum(s.get(g, 0) >= langid.RELATIVE * top.get(g, 2) for g in grams) / len(grams) for k, s in share.items()}
+        assert got[i][1] == pytest.approx(max(held.values()), abs=0.02) and held[got[i][0]] >= max(held.values()) - 0.02
+
+
+def test_every_text_with_a_letter_gets_a_learned_language(spark):
+    df = spark.createDataFrame([(i, "the quick brown fox", "en") for i in range(40)] + [(90, "日本語", None), (91, "q", None), (92, "7 !", None)], "doc_id long, text string, lang string")
+    out = rows(langid.identify_languages(df), "lang_pred", "score")
+    assert out[90] == ("en", 0.0) and out[91][0] == "en" and out[92] == ("und", 0.0)
 
 
 def test_near_duplicates(docs):
@@ -166,6 +230,28 @@ def test_random_strings_are_found(spark):
     assert masked == {1: ("é key [SECRET] end",), 2: ("[SECRET], x",), 3: (None,)}
 
 
+def test_recall_and_false_discoveries_of_the_battery(spark):
+    """Random keys of several encodings among twice as many ordinary identifiers."""
+    r = random.Random(9)
+    alphabets = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    keys = [(a, "".join(r.choice(a) for _ in range(n))) for a in alphabets for n in (40, 64) for _ in range(20)]
+    parts = "international configuration handler value manager abstract factory response request service connection string builder".split()
+    names = ["".join(r.choice(parts).capitalize() for _ in range(4)) if i % 2 else "_".join(r.choice(parts) for _ in range(4)) for i in range(320)]
+    said = [k for _, k in keys] + names
+    out = rows(secret_scan.secret_report(frame(spark, [(i, f"call {x} now") for i, x in enumerate(said)])), "spans")
+    found = [out[i][0] == f"random:5:{5 + len(x)}" for i, x in enumerate(said)]
+    assert sum(found[: len(keys)]) >= 0.75 * len(keys)
+    assert sum(out[i][0] != "" for i in range(len(keys), len(said))) <= 0.02 * len(names)
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "é token=abcdef1 " + "deadbeef" * 4 + " "
+    out = secret_scan.secret_report(frame(spark, [(1, text * 3000)])).first()
+    spans = brute.base_secrets(text * 3000)
+    assert (out["n_assign"], out["n_hex"]) == (3000, 3000)
+    assert out["base_sha256"] == brute.sha(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans))
+
+
 def test_quality_measures(docs):
     got = rows(quality_rules.judge_quality(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got == {i: brute.quality_measures(t) for i, t in corpus()}
@@ -189,6 +275,50 @@ def test_vote_model_finds_the_better_rules():
     assert abs(model.prior - 0.7) < 0.1 and model.accuracies()[0][0] > model.accuracies()[3][0]
 
 
+def test_the_posterior_decides(spark):
+    """Texts that pass the base rules but are of symbols or menus are not kept; ordinary ones are, whatever their kind."""
+    r = random.Random(1)
+    prose = lambda n: " ".join(r.choice(["the", "of", "and", "to", "in", "house", "water", "letter", "morning", "street"]) + str(r.choice(["", "", "s"])) for _ in range(n)).capitalize() + "."
+    good = [(i, "\n".join(prose(r.randrange(8, 30)) for _ in range(r.randrange(2, 6)))) for i in range(300)]
+    spam = [(i, " ".join(f"{r.choice(WORDS)}{i}{k}{r.choice(['###', '$$$', '%%%'])}" for k in range(60))) for i in range(300, 330)]
+    menu = [(i, " | ".join(f"{r.choice(WORDS)}x{k}" for k in range(50))) for i in range(330, 360)]
+    out = rows(quality_rules.judge_quality(frame(spark, good + spam + menu)), "base_failed", "kept")
+    assert not any(out[i][0] for i, _ in spam + menu)
+    assert sum(out[i][1] for i, _ in good) >= 0.98 * sum(not out[i][0] for i, _ in good)
+    assert sum(out[i][1] for i, _ in spam + menu) <= 3
+
+
+def plain_statistics(text):
+    from spanframe.llm.quality_model import STATISTICS
+
+    text = text or ""
+    words = brute.space_words(text, True)
+    raw = text.encode()
+    n, chars = len(words), sum(len(w.encode()) for w in words)
+    lines = [x for x in text.split("\n") if x and not x.isspace()]
+    runs = lambda k: [tuple(words[i : i + k]) for i in range(n - k + 1)]
+    again = lambda x: (len(x) - len(set(x))) / max(1, len(x))
+    among = lambda own: sum(b in own for b in raw)
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    values = {
+        "n_words": n, "word_length": chars / max(1, n), "longest_word": max((len(w.encode()) for w in words), default=0),
+        "symbols": among(b"#*$%&|<>{}[]~^=\\@_") / max(1, n), "digits": among(b"0123456789") / max(1, chars),
+        "capitals": sum(65 <= b <= 90 for b in raw) / max(1, sum(map(letter, raw))), "punctuation": among(b".,;:!?\"'()-") / max(1, n),
+        "non_ascii": sum(b >= 128 for b in raw) / max(1, chars), "distinct_words": len(set(words)) / max(1, n),
+        "top_word": max((words.count(w) for w in set(words)), default=0) / max(1, n), "repeated_pairs": again(runs(2)), "repeated_runs": again(runs(5)),
+        "repeated_lines": again(lines), "line_words": n / max(1, len(lines)), "symbol_words": sum(not any(map(letter, w.encode())) for w in words) / max(1, n),
+        "bare_lines": sum(x.rstrip()[-1] not in ".!?:;\"'" for x in lines) / max(1, len(lines)),
+    }
+    return [values[s] for s in STATISTICS]
+
+
+def test_statistics_are_those_of_plain_counts():
+    texts = [t for _, t in corpus()]
+    got = quality_model.statistics(pa.array(texts, pa.string()))
+    for row, text in zip(got, texts, strict=True):
+        assert row == pytest.approx(plain_statistics(text))
+
+
 def test_quality_model(spark):
     good = [(i, f"A quiet sentence number {i} about the weather. It has several words and ends well.") for i in range(150)]
     bad = [(i, "BUY!! NOW!! $$$ &&& " * (5 + i % 7)) for i in range(150, 300)]
@@ -238,6 +368,42 @@ def test_urls(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, best and best[1] + best[2], best[0] if best else "allow")
 
 
+def test_urls_by_join(spark):
+    """Rules too large to broadcast give the trie's result."""
+    r = random.Random(3)
+    host = lambda: ".".join(r.choice(["a", "b", "com", "net"]) for _ in range(r.randrange(1, 4)))
+    path = lambda: "".join(r.choice(["/", "/en", "/de/", "7", "/x/", ""]) for _ in range(r.randrange(0, 4)))
+    rules = [url_filter.Rule(r.choice(["allow", "block"]), host() if r.random() < 0.95 else "", path()) for _ in range(120)]
+    urls = [f"http://{host()}{path()}{r.choice(['', '?q', '#f'])}" for _ in range(300)] + [None, "", "x"] * 2
+    pages = spark.createDataFrame([(i % 290, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("rule", F.lit(1))
+    key = lambda df: sorted(tuple(map(str, x)) for x in df.select("page_id", "host", "path", "rule", "verdict").collect())
+    assert key(url_filter.judge_urls(pages, rules)) == key(url_filter.judge_urls(pages, rules, most=10))
+
+
+def test_long_words_take_linear_time():
+    import time
+
+    model = bpe.WordBpe(bpe.load(queries.TOKENIZER))
+    r = random.Random(2)
+    for word in ("a" * 1_000_000, "".join(r.choice("abcdehinrt") for _ in range(1_000_000))):
+        began = time.process_time()
+        assert model.decode(model.encode(word)).replace("</w>", "").replace(" ", "") == word
+        assert time.process_time() - began < 60
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh the house of the morning is in the street", "en", 1), (2, None, "en", 2)], "doc_id long, text string, lang string, `__text` int")
+    for c in ("__base", "__lang", "__score", "__items", "__spans", "__n_words", "__seen", "__tested", "a.b", "row", "said", "h", "n"):
+        df = df.withColumn(c, F.lit("x"))
+    bench = spark.createDataFrame([(1, "some other words")], "item_id long, text string")
+    assert secret_scan.redact_secrets(df).columns == df.columns
+    assert rows(secret_scan.redact_secrets(df), "text", "said") == {1: ("[SECRET] the house of the morning is in the street", "x"), 2: (None, "x")}
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and kept.count() == 2
+    known = langid.keep_known(df, langid.fit_languages(df))
+    assert known.columns == df.columns and [x["doc_id"] for x in known.collect()] == [1]
+
+
 REPORTS = {
     "licenses": license_scan.scan_licenses,
     "languages": langid.identify_languages,
