@@ -54,7 +54,7 @@ LOWER = {
     0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
     **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}, ord("Σ"): ord("σ"),
 }
-CACHE_WORDS = 120_000
+CACHE_WORDS = 200_000
 CACHE_ARCS = 150_000
 LONGEST_CACHED = 40
 
