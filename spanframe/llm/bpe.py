@@ -28,7 +28,6 @@ import hashlib
 import json
 import re
 import unicodedata
-from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -172,19 +171,19 @@ class WordBpe:
         # Labels by their spelling: a trie of those inside a word (a node's own label under 0), and those at its end.
         known = {t: i for t, i in vocab.items() if i in self.automaton.born}
         # The trie is one flat table: (node, code of the next symbol) to node; label is a node's own label, or -1.
-        self.code = {s: k for k, s in enumerate(self.symbols)}
+        code = {s: k for k, s in enumerate(self.symbols)}
         self.step: dict[int, int] = {}
-        label = array("i", [-1])
-        self.final, self.longest = {}, 0
+        label = [-1]
+        self.final, self.longest, self.deepest = {}, 0, 0
         for t, i in known.items():
             if self.suffix and t.endswith(self.suffix):
                 spelt = t.removesuffix(self.suffix)
                 self.final[spelt] = i
                 self.longest = max(self.longest, len(spelt))
                 continue
-            node = 0
+            node, self.deepest = 0, max(self.deepest, len(t))
             for c in t:
-                key = node << 8 | self.code[c]
+                key = node << 8 | code[c]
                 node = self.step.setdefault(key, len(label))
                 if node == len(label):
                     label.append(-1)
@@ -193,13 +192,15 @@ class WordBpe:
                 self.final[t] = i
                 self.longest = max(self.longest, len(t))
         self.label = label
+        self.shown = {i: str(i) for i in known.values()}
         self.found = _Generations(self._known)
         self.chunks = _Generations(self._of_chunk)
 
     def _word(self, word: str) -> list[int]:
         codes = word.encode("utf-8", "surrogatepass")
         spelt = "".join([self.symbols[b] for b in codes])
-        n, allows, step, labels, final, longest = len(spelt), self.automaton.allows, self.step, self.label, self.final, self.longest
+        n, automaton, step, labels, final, longest = len(spelt), self.automaton, self.step.get, self.label, self.final, self.longest
+        known, allows = automaton.table.get, automaton.allows
         # One label at most leads to a place along valid arcs, so a place that leads nowhere is left for good.
         path: list[tuple[int, int]] = []
         dead: set[int] = set()
@@ -207,18 +208,19 @@ class WordBpe:
         while True:
             if most == n:
                 label = final.get(spelt[at:]) if n - at <= longest else None
-                if label is not None and (state < 0 or allows(state, label)):
+                if label is not None and (state < 0 or known(state << 32 | label) or allows(state, label)):
                     return [x for _, x in path] + [label]
                 most -= 1
-            ends, node = [], 0
-            for to in range(at, most):
-                node = step.get(node << 8 | codes[to])
+            ends, node, to = [], 0, at
+            for c in codes[at : min(most, at + self.deepest)]:
+                node = step(node << 8 | c)
                 if node is None:
                     break
+                to += 1
                 if labels[node] >= 0:
-                    ends.append((to + 1, labels[node]))
+                    ends.append((to, labels[node]))
             for to, label in reversed(ends):
-                if to not in dead and (state < 0 or allows(state, label)):
+                if to not in dead and (state < 0 or known(state << 32 | label) or allows(state, label)):
                     path.append((at, label))
                     at, most, state = to, n, label
                     break
@@ -231,7 +233,7 @@ class WordBpe:
     def _known(self, word: str) -> tuple[str, str]:
         """A word's ids and its labels' texts, each joined by a space."""
         ids = self._word(word)
-        return " ".join(map(str, ids)), " ".join([self.text[i] for i in ids])
+        return " ".join([self.shown[i] for i in ids]), " ".join([self.text[i] for i in ids])
 
     def _split(self, text: str) -> list[str]:
         if text.isascii():
