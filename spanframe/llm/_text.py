@@ -7,6 +7,7 @@ slice costs a fixed number of numpy passes whatever its number of words.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -162,10 +163,24 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         at = to
 
 
+#: What Python workers keep between tasks beyond small tables: the module that keeps it, and how to let it go.
+held: dict[str, Callable[[], None]] = {}
+
+
+def let_go(owner: str) -> None:
+    """Frees what other modules than owner keep in this worker, which serves one operator after another."""
+    others = [held.pop(name) for name in list(held) if name != owner]
+    for free in others:
+        free()
+    if others:
+        gc.collect()
+
+
 def map_texts(df: DataFrame, text: str, schema: T.StructType | str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], most: int = SLICE_BYTES) -> DataFrame:
     """Applies fn to bounded slices of df's rows. Row-local: no shuffle, and a lost task is run again."""
 
     def run(batches):
+        let_go(fn.__module__)
         for batch in batches:
             for part in slices(batch, text, most):
                 made = fn(part)

@@ -15,7 +15,8 @@ white space dropped): special tokens are cut out first; then NFC, white space to
 each code point, the file's split pattern, bytes to symbols. The vocabulary file is read on the executors
 from ``path`` or, where it is missing there, comes with the function.
 
-Memory: the automaton is fixed by the file; words' ids are kept for at most CACHE_WORDS words and as many chunks a worker.
+Memory: the automaton is fixed by the file; words' ids are kept for at most CACHE_WORDS words and as many chunks
+a worker, and go when the worker begins a task of another operator.
 A word's cost is in proportion to its length, whatever its length: a label is sought no further than the longest one.
 
 Defined results: null and empty texts have no ids and decode to an empty text; ids outside the vocabulary
@@ -36,7 +37,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from spanframe.llm._text import lists, map_texts
+from spanframe.llm._text import held, lists, map_texts
 
 #: What the library's split pattern and lower case know of Unicode, where Python's differ.
 NOT_LETTERS = (
@@ -53,7 +54,7 @@ LOWER = {
     0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
     **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}, ord("Σ"): ord("σ"),
 }
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 CACHE_ARCS = 150_000
 LONGEST_CACHED = 40
 
@@ -127,11 +128,11 @@ class Automaton:
 
 
 class _Generations(dict):
-    """What make returns for a key; of the keys last asked for, between half of CACHE_WORDS and all are kept."""
+    """What make returns for a key; of the keys last asked for, between half of most and all are kept."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key: str):
         found = self.older.get(key)
@@ -139,7 +140,7 @@ class _Generations(dict):
             found = self.make(key)
             if len(key) > LONGEST_CACHED:
                 return found
-        if len(self) >= CACHE_WORDS // 2:
+        if len(self) >= self.most // 2:
             self.older = dict(self)
             self.clear()
         self[key] = found
@@ -193,8 +194,8 @@ class WordBpe:
                 self.longest = max(self.longest, len(t))
         self.label = label
         self.shown = {i: str(i) for i in known.values()}
-        self.found = _Generations(self._known)
-        self.chunks = _Generations(self._of_chunk)
+        self.found = _Generations(self._known, CACHE_WORDS)
+        self.chunks = _Generations(self._of_chunk, CACHE_WORDS)
 
     def _word(self, word: str) -> list[int]:
         codes = word.encode("utf-8", "surrogatepass")
@@ -281,6 +282,7 @@ class WordBpe:
 
 @lru_cache(2)
 def _loaded(text: str) -> WordBpe:
+    held[__name__] = _loaded.cache_clear
     return WordBpe(text)
 
 

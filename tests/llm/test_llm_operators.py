@@ -429,3 +429,14 @@ def test_odd_tables_with_a_second_table(spark):
         assert decontaminate.contamination_report(docs, bench.where("false")).where("contaminated").count() == 0
         assert quality_model.quality_scores(docs, labels).count() == n
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), []).count() == 0
+
+
+def test_workers_free_what_others_keep():
+    from spanframe.llm import _text
+
+    model = bpe._loaded(bpe.load(queries.TOKENIZER))
+    assert model.encode("the cold river") and bpe._loaded.cache_info().currsize
+    _text.let_go(bpe.__name__)
+    assert bpe._loaded(bpe.load(queries.TOKENIZER)) is model
+    _text.let_go("another module")
+    assert not bpe._loaded.cache_info().currsize and not _text.held
