@@ -3,7 +3,7 @@
 An interval view is a DataFrame with columns chrom, start, end: half-open, zero-based. Queries are the left
 side, targets the right. Relations are stated on closed ends: the query is [x, y], the target [a, b].
 
-Overlap joins become equi-joins on (chrom, level, bin, role). The sizes of the bins follow the intervals' lengths, which
+Overlap joins become equi-joins on (chrom, tag, bin), a tag being a level and the side that hosts there. The sizes of the bins follow the intervals' lengths, which
 one small aggregation counts by powers of two: the finest bin is about as long as the usual interval, each further level's
 is FACTOR times as long, and there are as many levels as the longest interval needs. An interval's own level is the
 least whose bins it spans at most SPAN + 1 of, so it makes no more rows than that on a level, however long. On its own
@@ -75,31 +75,38 @@ class _Bins:
         """The level of lengths under 2 ** (power + 1)."""
         return max(0, -(-(power + 1 - self.base - (SPAN.bit_length() - 1)) // (FACTOR.bit_length() - 1)))
 
+    def _bits(self, tag: Column) -> Column:
+        """The power of two of the bins' size; a tag is twice the level, and one more where targets host."""
+        return (F.lit(self.base) + F.shiftright(tag, 1) * (FACTOR.bit_length() - 1)).cast("int")
+
     def listed(self, df: DataFrame, side: int) -> DataFrame:
-        """One row for each level, bin and role of an interval.
+        """One row for each tag and bin of an interval.
 
-        Role 0 joins a query's hosts to targets of the same or finer levels, role 1 targets' hosts to queries of finer ones.
+        Under even tags queries host and targets of the same or finer levels visit, under odd ones targets host and queries
+        of finer levels visit. Tags under which the other side has nobody are left out. All of it stays in generated code.
         """
+        least = [min(h) if h else None for h in self.hosts]
+        tests = []
+        if None not in least:
+            tests += [(2 * level, "=" if side == 0 else "<=", level) for level in self.hosts[0] if least[1] <= level]
+            tests += [(2 * level + 1, "<" if side == 0 else "=", level) for level in self.hosts[1] if least[0] < level]
         own = F.greatest(F.lit(0), F.ceil((_power(F.col("start"), F.col("end")) + 1 - self.base - (SPAN.bit_length() - 1)) / (FACTOR.bit_length() - 1))).cast("int")
-        parts = []
-        for level in sorted({*self.hosts[0], *self.hosts[1]}):
-            bins = f"sequence(start div {self.size(level)}, (end - 1) div {self.size(level)})"
-            roles = []
-            if level in self.hosts[side]:
-                roles.append((f"__own = {level}", side))
-            if level in self.hosts[1 - side]:
-                # A query visits hosts that are coarser than it; a target also meets those of its own level.
-                roles.append((f"__own {'<' if side == 0 else '<='} {level}", 1 - side))
-            parts += [f"if({test}, transform({bins}, b -> struct({level} as level, b as bin, {role} as role)), cast(array() as array<struct<level:int,bin:bigint,role:int>>))" for test, role in roles]
-        listed = F.expr(f"concat({', '.join(parts)})" if parts else "cast(array() as array<struct<level:int,bin:bigint,role:int>>)")
-        return df.where("end > start").withColumn("__own", own).select("*", F.inline(listed).alias("__level", "__bin", "__role")).drop("__own")
+        held = df.where("end > start").withColumn("__own", own)
+        if len(tests) == 1 and len({*self.hosts[side]}) == 1:
+            tagged = held.withColumn("__tag", F.lit(tests[0][0]))  # one level only, so each interval passes the one test
+        else:
+            tags = F.expr(f"array({', '.join(f'if(__own {how} {level}, {tag}, null)' for tag, how, level in tests)})" if tests else "cast(array() as array<int>)")
+            tagged = held.withColumn("__tag", F.explode(tags)).where("__tag is not null")
+        bits = self._bits(F.col("__tag"))
+        return tagged.drop("__own").withColumn("__bin", F.explode(F.sequence(_shifted(F.col("start"), bits), _shifted(F.col("end") - 1, bits))))
 
     def first(self) -> Column:
-        """The first bin that both of a pair touch, on the level where they meet."""
-        out = F.lit(None).cast("long")
-        for level in {*self.hosts[0], *self.hosts[1]}:
-            out = F.when(F.col("q___level") == level, F.expr(f"greatest(q_start, t_start) div {self.size(level)}")).otherwise(out)
-        return out
+        """The first bin that both of a pair touch, at the tag under which they meet."""
+        return _shifted(F.greatest("q_start", "t_start"), self._bits(F.col("q___tag")))
+
+
+def _shifted(place: Column, bits: Column) -> Column:
+    return F.call_function("shiftright", place, bits)
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -133,14 +140,14 @@ def overlap_join(queries: DataFrame, targets: DataFrame, relation: str = "any",
         return _thresholds(q.join(t, on & holds), threshold, reciprocal)
     bins = _Bins(queries, targets)
     q, t, same = _met(queries, targets, bins)
-    pairs = q.join(t, same & (F.col("q___bin") == bins.first()) & holds).drop(*[f"{p}__{c}" for p in ("q_", "t_") for c in ("level", "bin", "role")])
+    pairs = q.join(t, same & (F.col("q___bin") == bins.first()) & holds).drop(*[f"{p}__{c}" for p in ("q_", "t_") for c in ("tag", "bin")])
     return _thresholds(pairs, threshold, reciprocal)
 
 
 def _met(queries: DataFrame, targets: DataFrame, bins: _Bins) -> tuple[DataFrame, DataFrame, Column]:
     q, t = _prefixed(bins.listed(queries, 0), "q_"), _prefixed(bins.listed(targets, 1), "t_")
     same = F.col("q_chrom") == F.col("t_chrom")
-    for c in ("level", "bin", "role"):
+    for c in ("tag", "bin"):
         same = same & (F.col(f"q___{c}") == F.col(f"t___{c}"))
     return q, t, same
 
@@ -164,6 +171,7 @@ def _matched(queries: DataFrame, targets: DataFrame, relation: str = "any", thre
 
     No pairs are made: a query's search ends at its first partner.
     """
+    sides = queries, targets
     keys = queries.where("end > start").select("chrom", "start", "end").distinct()
     targets = targets.where("end > start").select("chrom", "start", "end").distinct()
     holds = _relation(relation) & _covers(threshold, reciprocal)
@@ -179,7 +187,7 @@ def _matched(queries: DataFrame, targets: DataFrame, relation: str = "any", thre
         for target, query in _FIXED.get(relation, ()):
             on = on & (ends[target] == ends[query])
         return q.join(t, on & holds, "left_semi").select(*named)
-    q, t, same = _met(keys, targets, _Bins(keys, targets))
+    q, t, same = _met(keys, targets, _Bins(*sides))
     return q.join(t, same & holds, "left_semi").select(*named).distinct()
 
 
