@@ -133,3 +133,12 @@ def to_ranges(track: DataFrame) -> DataFrame:
     w = Window.partitionBy("chrom", "value").orderBy("pos")
     runs = track.withColumn("__run", F.col("pos") - F.row_number().over(w))
     return runs.groupBy("chrom", "value", "__run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).select("chrom", "start", "end", "value")
+
+
+def runs_of(track: DataFrame, longest: int = 1 << 16) -> DataFrame:
+    """track with run, a number that rows of consecutive positions share; runs also end at multiples of longest, so they stay bounded.
+
+    Positions are numbered within tiles of that length, not within whole chromosomes.
+    """
+    tile = F.floor(F.col("pos") / longest)
+    return track.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("chrom", tile).orderBy("pos")))

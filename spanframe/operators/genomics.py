@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions import sequence
+from spanframe.operators.annotation import occurrences
 from spanframe.operators.intervals import overlap_join
 
 
@@ -116,12 +117,12 @@ def distinct_sequences(df: DataFrame) -> DataFrame:
 
 
 def digest(df: DataFrame, motif: str, cut: int) -> DataFrame:
-    """Fragments of sequences (name, seq) between the cut places, cut bases into each motif: name, start, end."""
-    parts = F.split("seq", motif)
-    places = F.transform(F.slice(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.aggregate(F.slice(parts, 1, k), F.lit(0), lambda a, p: a + F.length(p)) + (k - 1) * len(motif)), 1, F.size(parts) - 1), lambda p: p + cut)
-    edges = F.concat(F.array(F.lit(0)), places, F.array(F.length("seq")))
-    pieces = F.filter(F.zip_with(edges, F.slice(edges, 2, F.size(edges)), lambda a, b: F.struct(a.alias("start"), b.alias("end"))), lambda p: p["end"] > p["start"])
-    return df.select("name", F.inline(pieces))
+    """Fragments of sequences (name, seq) between the cut places, cut bases into each motif, which is plain text: name, start, end."""
+    found = occurrences(df, motif)
+    w = Window.partitionBy("name", "__row").orderBy(F.coalesce("start", "size"))
+    end = F.coalesce(F.col("start") + cut, F.col("size"))
+    pieces = found.select("name", F.coalesce(F.lag(end).over(w), F.lit(0)).alias("start"), end.alias("end"))
+    return pieces.where("end > start")
 
 
 def window_divergence(aligned: DataFrame, window: int) -> DataFrame:

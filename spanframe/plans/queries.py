@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.functions import sequence as sq
-from spanframe.operators import coverage, genomics, intervals, islands, pairs, regions, statistics
+from spanframe.operators import annotation, coverage, genomics, intervals, islands, pairs, regions, statistics
 from spanframe.operators.alignment import align_columns
+from spanframe.scratch import Scratch
+from spanframe.sources import text_formats, writers
 from spanframe.streaming import tracks
 
 CHROMS = 997
@@ -398,7 +400,10 @@ def distinct_sequences(s: SparkSession, d: str) -> DataFrame:
     return genomics.distinct_sequences(_t(s, d, "part").select(F.col("p_type").alias("seq"), F.col("p_partkey").cast("string").alias("name")))
 
 
-@register("translate_codons")
+_AT = "strpos('TCAG', s[i{}]) - 1"
+
+
+@register("translate_codons", f"SELECT p_partkey, coalesce(array_to_string([substr('{sq.CODE}', 16 * ({_AT.format('')}) + 4 * ({_AT.format(' + 1')}) + {_AT.format(' + 2')} + 1, 1) FOR i IN range(1, length(s) - 1, 3)], ''), '') AS protein FROM (SELECT p_partkey, {_BASES} AS s FROM part)")
 def translate_codons(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "part").select("p_partkey", sq.translate_codons(F.regexp_replace(F.upper("p_name"), "[^ACGT]", "")).alias("protein"))
 
@@ -452,11 +457,14 @@ def interval_contacts(s: SparkSession, d: str) -> DataFrame:
     return pairs.contacts_of(_paired(s, d), items(s, d))
 
 
-@register("motif_hits")
+_MATRIX = [dict(zip("ACGT", x, strict=True)) for x in ((2.0, 0.5, 0.1, 0.0), (0.1, 1.5, 0.2, 0.3), (0.0, 0.4, 0.6, 1.8))]
+_SCORE = " + ".join(f"CASE s[i + {j}] " + " ".join(f"WHEN '{b}' THEN {v}::DOUBLE" for b, v in column.items()) + " END" for j, column in enumerate(_MATRIX, 1))
+
+
+@register("motif_hits", f"WITH f AS (SELECT CAST(p_partkey AS VARCHAR) AS name, {_BASES} AS s FROM part), b AS (SELECT name, '+' AS strand, s FROM f UNION ALL SELECT name, '-', reverse(translate(s, 'ACGT', 'TGCA')) FROM f), i AS (SELECT *, unnest(range(0, length(s) - 2)) AS i FROM b), h AS (SELECT *, {_SCORE} AS score FROM i) SELECT name, CAST(CASE strand WHEN '+' THEN i ELSE length(s) - i - 3 END AS INT) AS start, CAST(CASE strand WHEN '+' THEN i ELSE length(s) - i - 3 END + 3 AS INT) AS \"end\", strand, round(score, 6) AS score FROM h WHERE score >= 0.7 * 5.3")
 def motif_hits(s: SparkSession, d: str) -> DataFrame:
-    matrix = [dict(zip("ACGT", x, strict=True)) for x in ((2.0, 0.5, 0.1, 0.0), (0.1, 1.5, 0.2, 0.3), (0.0, 0.4, 0.6, 1.8))]
     names = _t(s, d, "part").select(F.col("p_partkey").cast("string").alias("name"), F.regexp_replace(F.upper("p_name"), "[^ACGT]", "").alias("seq"))
-    return pairs.motif_hits(names, matrix, 0.7)
+    return pairs.motif_hits(names, _MATRIX, 0.7).withColumn("score", F.round("score", 6))
 
 
 @register("global_alignment")
@@ -465,12 +473,140 @@ def global_alignment(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "part").select("p_partkey", align_columns(F.col("p_name"), F.col("p_type")).alias("x")).select("p_partkey", "x.score", "x.cigar")
 
 
-@register("sliding_coverage")
+@register("sliding_coverage", f"WITH i AS {_I}, p AS (SELECT chrom, s AS p FROM i UNION SELECT chrom, e FROM i), x AS (SELECT chrom, p AS x FROM p UNION SELECT chrom, p - 30 FROM p) SELECT x.chrom, CAST(x AS BIGINT) AS x, CAST(sum(greatest(0, least(e, x + 30) - greatest(s, x))) AS BIGINT) AS covered FROM x JOIN i ON x.chrom = i.chrom WHERE x >= 0 AND x + 30 <= 3000 GROUP BY ALL")
 def sliding_coverage(s: SparkSession, d: str) -> DataFrame:
     df = items(s, d)
     return coverage.sliding_coverage(df, df.select("chrom").distinct().withColumn("size", F.lit(3000).cast("long")), 30)
 
 
-@register("digest")
+_PLACES = "(SELECT {id} AS name, k, {m} AS m, sum(length(part)) OVER (PARTITION BY {id} ORDER BY k) + (k - 1) * length({m}) AS p, n FROM (SELECT {id}, unnest(x) AS part, generate_subscripts(x, 1) AS k, len(x) AS n FROM (SELECT {id}, string_split({text}, {m}) AS x FROM {table})))"
+
+
+@register("digest", f"SELECT CAST(name AS VARCHAR) AS name, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS \"end\" FROM (SELECT name, coalesce(lag(e) OVER (PARTITION BY name ORDER BY k), 0) AS a, e AS b FROM (SELECT name, k, CASE WHEN k < n THEN p + 1 ELSE p END AS e FROM {_PLACES.format(id='p_partkey', text='p_name', table='part', m=chr(39) + 'an' + chr(39))})) WHERE b > a")
 def digest(s: SparkSession, d: str) -> DataFrame:
     return genomics.digest(_t(s, d, "part").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_name").alias("seq")), "an", 1)
+
+
+_SITES = " UNION ALL ".join(f"SELECT name, p + {ahead} AS pos, {forward} AS f, '{primer}' AS primer FROM {_PLACES.format(id='doc_id', text='text', table='documents', m=chr(39) + motif + chr(39))} WHERE k < n" for primer, motif, ahead, forward in (("ac", "ac", 2, 1), ("ac", "gt", 0, 0), ("ta", "ta", 2, 1), ("ta", "ta", 0, 0)))
+
+
+@register("amplicons", f"WITH s AS ({_SITES}), o AS (SELECT *, lead(pos) OVER w AS q, lead(f) OVER w AS g, lead(primer) OVER w AS r FROM s WINDOW w AS (PARTITION BY name ORDER BY pos, f, primer)) SELECT CAST(name AS VARCHAR) AS chrom, CAST(pos - 2 AS BIGINT) AS start, CAST(q + 2 AS BIGINT) AS \"end\", primer || '+' || r AS name FROM o WHERE f = 1 AND g = 0 AND q - pos + 4 <= 100")
+def amplicons(s: SparkSession, d: str) -> DataFrame:
+    """Products of two short primers on the texts of documents, as sequences of letters."""
+    return annotation.amplicons(_t(s, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("seq")), ["ac", "ta"], 100)
+
+
+@register("sequence_lookup", "SELECT CAST(doc_id AS VARCHAR) AS chrom, CAST(doc_id % 50 AS BIGINT) AS start, CAST(least(doc_id % 50 + 300, length(text)) AS BIGINT) AS \"end\", substr(text, CAST(doc_id % 50 + 1 AS BIGINT), 300) AS seq FROM documents WHERE length(text) > doc_id % 50")
+def sequence_lookup(s: SparkSession, d: str) -> DataFrame:
+    docs = _t(s, d, "documents")
+    near = F.col("doc_id") % 50
+    places = intervals.as_intervals(docs.where(F.length("text") > near), "doc_id", near, F.least(near + 300, F.length("text")))
+    return annotation.lookup_sequences(places, docs.select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("seq")), piece=128)
+
+
+@register("canonical_transcripts", "WITH t AS (SELECT l_suppkey AS gene, l_orderkey AS transcript, CAST(coalesce(sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_quantity AS INT) END), 0) AS BIGINT) AS cds_length, CAST(sum(CAST(l_quantity AS INT) + 3) AS BIGINT) AS cdna_length FROM lineitem GROUP BY ALL) SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY gene ORDER BY cds_length DESC, cdna_length DESC, transcript) = 1")
+def canonical_transcripts(s: SparkSession, d: str) -> DataFrame:
+    """Order lines as exons of a supplier's orders; lines that were not returned are coding."""
+    size = F.col("l_quantity").cast("int").cast("long")
+    coding = F.when(F.col("l_returnflag") == "N", F.lit(0).cast("long"))
+    exons = _t(s, d, "lineitem").select(F.col("l_suppkey").alias("gene"), F.col("l_orderkey").alias("transcript"), F.lit(0).cast("long").alias("start"), (size + 3).alias("end"), coding.alias("cds_start"), (coding + size).alias("cds_end"))
+    return annotation.canonical_transcripts(exons)
+
+
+_FEET = "(SELECT *, s + 100 AS s2, s + 107 AS e2 FROM {} x)"
+_TOUCH = "((({0} < t.e AND {1} > t.s) OR ({0} < t.e2 AND {1} > t.s2)))"
+
+
+@register("bedpe_pairs", f"SELECT DISTINCT q.o_orderkey AS id, t.l_orderkey * 10 + t.l_linenumber AS other_id FROM {_FEET.format(_O)} q JOIN {_FEET.format(_I)} t ON q.chrom = t.chrom AND {_TOUCH.format('q.s', 'q.e')} AND {_TOUCH.format('q.s2', 'q.e2')}")
+def bedpe_pairs(s: SparkSession, d: str) -> DataFrame:
+    lines = items(s, d, "l_orderkey", "l_linenumber")
+    others = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.struct("chrom", "start", "end").alias("a"), F.struct("chrom", (F.col("start") + 100).alias("start"), (F.col("start") + 107).alias("end")).alias("b"))
+    return pairs.pairs_meeting(_paired(s, d), others)
+
+
+def _variants(s: SparkSession, d: str) -> DataFrame:
+    """Order lines as variants: bases by line number and order, quality by price, depth by quantity."""
+    base = lambda c: F.substring(F.lit("ACGT"), (c % 4 + 1).cast("int"), F.lit(1))
+    alts = F.array(base(F.col("l_orderkey")), base(F.col("l_partkey")))
+    depth = F.create_map(F.lit("DP"), F.col("l_quantity").cast("int").cast("string"))
+    return _t(s, d, "lineitem").select((F.col("l_suppkey") % 10).cast("string").alias("chrom"), F.col("l_partkey").alias("pos"), F.concat_ws("_", "l_orderkey", "l_linenumber").alias("id"), base(F.col("l_linenumber")).alias("ref"), F.when(F.col("l_tax") > 0.04, alts).otherwise(F.slice(alts, 1, 1)).alias("alts"), F.floor("l_extendedprice").cast("double").alias("qual"), F.when(F.col("l_returnflag") == "N", "PASS").otherwise("low").alias("filter"), depth.alias("info"), F.lit("GT").alias("format"), F.array(F.lit("0|1")).alias("samples"))
+
+
+_V = "(SELECT CAST(l_suppkey % 10 AS VARCHAR) AS chrom, l_partkey AS pos, l_orderkey || '_' || l_linenumber AS id, substr('ACGT', CAST(l_linenumber % 4 + 1 AS BIGINT), 1) AS ref, substr('ACGT', CAST(l_orderkey % 4 + 1 AS BIGINT), 1) AS alt, substr('ACGT', CAST(l_partkey % 4 + 1 AS BIGINT), 1) AS alt2, l_tax > 0.04 AS two, floor(l_extendedprice) AS qual, l_returnflag = 'N' AS passed, CAST(l_quantity AS INT) AS depth FROM lineitem)"
+
+
+@register("vcf_criteria", f"SELECT id, chrom, pos, ref, alt FROM {_V} WHERE pos >= 50 AND qual >= 20000 AND NOT two AND passed AND depth >= 10 AND ((ref IN ('A', 'T') AND alt IN ('C', 'G')) OR (ref IN ('C', 'G') AND alt IN ('A', 'T')))")
+def vcf_criteria(s: SparkSession, d: str) -> DataFrame:
+    tests = annotation.variant_tests(min_pos=50, min_qual=20000, biallelic=True, substitutions=True, passed=True, weak_or_strong="change", infos=["DP >= 10"], formats=["GT"])
+    return genomics.filter_variants(_variants(s, d), *tests).select("id", "chrom", "pos", "ref", F.col("alts")[0].alias("alt"))
+
+
+def _written(s: SparkSession, name: str) -> str:
+    return f"{Scratch(s, 'written').root}/{name}"
+
+
+@register("file_vcf", f"SELECT id, chrom, pos, ref, CASE WHEN two THEN alt || ',' || alt2 ELSE alt END AS alts, qual, CASE WHEN passed THEN 'PASS' ELSE 'low' END AS filter, CAST(depth AS VARCHAR) AS depth, 1 AS allele FROM {_V}")
+def file_vcf(s: SparkSession, d: str) -> DataFrame:
+    path = _written(s, "a.vcf")
+    writers.write_vcf(_variants(s, d), path, ["one"])
+    return text_formats.read_vcf(s, path).select("id", "chrom", "pos", "ref", F.array_join("alts", ",").alias("alts"), "qual", "filter", F.col("info")["DP"].alias("depth"), F.element_at("genotypes", 1)[1].alias("allele"))
+
+
+@register("file_bed", f'SELECT chrom, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", o_orderpriority AS name FROM {_O}')
+def file_bed(s: SparkSession, d: str) -> DataFrame:
+    path = _written(s, "a.bed")
+    text_formats.write_bed(orders(s, d, "o_orderpriority").withColumnRenamed("o_orderpriority", "name"), path)
+    return text_formats.read_bed(s, path).select("chrom", "start", "end", "name")
+
+
+@register("file_bedpe", f'SELECT CAST(o_orderkey AS VARCHAR) AS name, chrom, CAST(s AS BIGINT) AS a_start, CAST(e + 0 AS BIGINT) AS a_end, CAST(s + 100 AS BIGINT) AS b_start, CAST(s + 107 AS BIGINT) AS b_end FROM {_O}')
+def file_bedpe(s: SparkSession, d: str) -> DataFrame:
+    path = _written(s, "a.bedpe")
+    strand = F.lit(None).cast("string")
+    feet = {side: F.col(side).withField("strand", strand) for side in "ab"}
+    writers.write_bedpe(_paired(s, d).withColumns(feet).select("a", "b", F.col("id").alias("name"), F.lit(None).cast("double").alias("score")), path)
+    return text_formats.read_bedpe(s, path).select("name", "a.chrom", F.col("a.start").alias("a_start"), F.col("a.end").alias("a_end"), F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"))
+
+
+@register("file_bedgraph", f'SELECT chrom, pos AS start, pos + 1 AS "end", value FROM {_T}')
+def file_bedgraph(s: SparkSession, d: str) -> DataFrame:
+    path = _written(s, "a.bedgraph")
+    writers.write_bedgraph(track(s, d).select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "value"), path)
+    return text_formats.read_bedgraph(s, path)
+
+
+@register("file_wig", f"SELECT chrom, CAST(pos AS BIGINT) AS pos, value FROM {_DAILY}")
+def file_wig(s: SparkSession, d: str) -> DataFrame:
+    path = _written(s, "a.wig")
+    writers.write_wig(daily(s, d), path)
+    return text_formats.read_wig(s, path)
+
+
+def _named(s: SparkSession, d: str) -> DataFrame:
+    bases = F.regexp_replace(F.upper("p_name"), "[^ACGT]", "")
+    return _t(s, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("name"), F.repeat(bases, F.lit(9)).alias("seq")).where("seq <> ''")
+
+
+_NAMED = f"(SELECT 'p' || p_partkey AS name, repeat({_BASES}, 9) AS seq FROM part WHERE {_BASES} <> '')"
+
+
+@register("file_fasta", f"SELECT name, seq FROM {_NAMED}")
+def file_fasta(s: SparkSession, d: str) -> DataFrame:
+    path = _written(s, "a.fa")
+    writers.write_fasta(_named(s, d), path)
+    return text_formats.read_fasta(s, path)
+
+
+@register("file_fastq", f"SELECT name, seq, repeat('I', length(seq)) AS qual FROM {_NAMED}")
+def file_fastq(s: SparkSession, d: str) -> DataFrame:
+    path = _written(s, "a.fq")
+    writers.write_fastq(_named(s, d).withColumn("qual", F.repeat(F.lit("I"), F.length("seq"))), path)
+    return text_formats.read_fastq(s, path)
+
+
+@register("file_sam", f"SELECT name, 'c' AS chrom, CAST(6 AS BIGINT) AS start, CAST(6 + length(seq) AS BIGINT) AS \"end\", seq, '7' AS nm FROM {_NAMED}")
+def file_sam(s: SparkSession, d: str) -> DataFrame:
+    path = _written(s, "a.sam")
+    fields = {"flag": F.lit(0), "chrom": F.lit("c"), "pos": F.lit(7), "mapq": F.lit(60), "cigar": F.concat(F.length("seq").cast("string"), F.lit("M")), "rnext": F.lit(None), "pnext": F.lit(0), "tlen": F.lit(0), "qual": F.lit("*"), "tags": F.create_map(F.lit("NM:i"), F.lit("7"))}
+    writers.write_sam(_named(s, d).withColumnRenamed("name", "qname").withColumns(fields), path, ["@HD\tVN:1.6"])
+    return text_formats.read_sam(s, path).select(F.col("qname").alias("name"), "chrom", "start", "end", "seq", F.col("tags")["NM:i"].alias("nm"))

@@ -63,7 +63,7 @@ def test_semi_anti_and_thresholds(sides):
 
 def test_no_row_makes_many_bins(sides):
     _, _, dq, dt = sides
-    per = iv._Bins(dq, dt).listed(dq, 0).groupBy("id", "__level", "__role").count().agg({"count": "max"}).first()[0]
+    per = iv._Bins(dq, dt).listed(dq, 0).groupBy("id", "__tag").count().agg({"count": "max"}).first()[0]
     assert per <= iv.SPAN + 1
 
 
@@ -87,7 +87,7 @@ def test_lengths_of_every_order_meet_once(spark):
     dq, dt = spark.createDataFrame(q, kind), spark.createDataFrame(t, kind)
     want = sorted((a[3], b[3]) for a in q for b in t if a[0] == b[0] and a[1] < a[2] and b[1] < b[2] and a[1] < b[2] and b[1] < a[2])
     assert sorted((x["q_id"], x["t_id"]) for x in iv.overlap_join(dq, dt).select("q_id", "t_id").collect()) == want
-    assert iv._Bins(dq, dt).listed(dq, 0).groupBy("id", "__level", "__role").count().agg({"count": "max"}).first()[0] <= iv.SPAN + 1
+    assert iv._Bins(dq, dt).listed(dq, 0).groupBy("id", "__tag").count().agg({"count": "max"}).first()[0] <= iv.SPAN + 1
     assert {x["id"] for x in iv.overlapping(dq, dt).collect()} == {a for a, _ in want}
     for relation, holds in (("lt", lambda a, b: b[2] - 1 < a[1]), ("gt", lambda a, b: b[1] > a[2] - 1)):
         got = {x["id"] for x in iv.overlapping(dq, dt, relation=relation).collect()}
