@@ -92,3 +92,19 @@ def test_lengths_of_every_order_meet_once(spark):
     for relation, holds in (("lt", lambda a, b: b[2] - 1 < a[1]), ("gt", lambda a, b: b[1] > a[2] - 1)):
         got = {x["id"] for x in iv.overlapping(dq, dt, relation=relation).collect()}
         assert got == {a[3] for a in q for b in t if a[0] == b[0] and a[1] < a[2] and b[1] < b[2] and holds(a, b)}
+
+
+@pytest.mark.parametrize("relation", ["lt", "gt"])
+def test_pairs_apart_are_counted_without_being_made(spark, sides, relation):
+    q, t, dq, dt = sides
+    want = {}
+    for c, x, y, _ in q:
+        for e, a, b, _ in t:
+            if c == e and y > x and b > a and TESTS[relation](a, b - 1, x, y - 1):
+                want[c] = want.get(c, 0) + 1
+    assert {r["chrom"]: r["pairs"] for r in iv.pairs_apart(dq, dt, relation).collect()} == want
+    # 200,000 intervals on either side of one place: 4e10 pairs, more than can be made in a test.
+    early = spark.range(200_000).selectExpr("'c' as chrom", "id % 50 as start", "id % 50 + 1 as end")
+    late = spark.range(200_000).selectExpr("'c' as chrom", "100 + id % 50 as start", "101 + id % 50 as end")
+    pair = (late, early) if relation == "lt" else (early, late)
+    assert [tuple(r) for r in iv.pairs_apart(*pair, relation).collect()] == [("c", 200_000**2)]
