@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from spanframe.operators import genomics
 from spanframe.operators import intervals as iv
 
 TESTS = {
@@ -108,3 +109,51 @@ def test_pairs_apart_are_counted_without_being_made(spark, sides, relation):
     late = spark.range(200_000).selectExpr("'c' as chrom", "100 + id % 50 as start", "101 + id % 50 as end")
     pair = (late, early) if relation == "lt" else (early, late)
     assert [tuple(r) for r in iv.pairs_apart(*pair, relation).collect()] == [("c", 200_000**2)]
+
+
+def crowded(spark, n, *more):
+    """n intervals that all meet at one place."""
+    return spark.range(n).selectExpr("'c' as chrom", "id % 50 as start", "60 + id % 50 as end", *more)
+
+
+def test_cells_and_genes_are_counted_without_pairs(spark):
+    # 4e10 pairs: more than can be made in a test. Gene x covers all reads, gene y only those that reach place 105.
+    reads = crowded(spark, 200_000, "id as read_id", "if(id % 2 = 0, 'even', 'odd') as cell")
+    genes = crowded(spark, 200_000, "'x' as gene").union(spark.sql("select 'c', 105L, 120L, 'y'"))
+    want = {}
+    for i in range(200_000):
+        if 60 + i % 50 <= 105:
+            want[("odd" if i % 2 else "even", "x")] = want.get(("odd" if i % 2 else "even", "x"), 0) + 1
+    assert {(r["cell"], r["gene"]): r["reads"] for r in genomics.cell_gene_counts(reads, genes).collect()} == want
+
+
+def test_cells_and_genes_against_plain_loops(spark):
+    r = random.Random(5)
+    kind = "chrom string, start long, end long, "
+    made = lambda n, what: [(r.choice(["a", "b", None]), s := r.randrange(300), s + r.choice([-1, 0, 1, 7, 30]), *what()) for _ in range(n)]
+    reads = made(150, lambda: (r.randrange(90), r.choice("ABC")))  # some reads in several rows
+    genes = made(25, lambda: (r.choice(["g", "h", "i", None]),))
+    got = genomics.cell_gene_counts(spark.createDataFrame(reads, kind + "read_id int, cell string"), spark.createDataFrame(genes, kind + "gene string"))
+    met = {}
+    for c, x, y, i, cell in reads:
+        for e, a, b, g in genes:
+            if c is not None and c == e and y > x and b > a and a < y and x < b:
+                met.setdefault(i, []).append((cell, g))
+    want = {}
+    for found in met.values():
+        names = {g for _, g in found} - {None}
+        if len(names) == 1:
+            key = (min(cell for cell, _ in found), names.pop())
+            want[key] = want.get(key, 0) + 1
+    assert {(x["cell"], x["gene"]): x["reads"] for x in got.collect()} == want and want
+
+
+def test_subset_matrix_makes_no_pairs(spark, sides):
+    q, t, dq, dt = sides
+    names = ["0", "1", "2"]
+    out = iv.subset_matrix(dq, dt.selectExpr("chrom", "start", "end", "cast(id % 4 as string) as name"), names).collect()
+    hit = lambda c, x, y, n: int(any(c == e and y > x and b > a and a < y and x < b and str(j % 4) == n for e, a, b, j in t))
+    assert {tuple(r) for r in out} == {(c, x, y, *[hit(c, x, y, n) for n in names]) for c, x, y, _ in q} and len(out) == len({row[:3] for row in q})
+    crowd = crowded(spark, 200_000, "'n' as name", "id")
+    regions = spark.range(100_000).selectExpr("'c' as chrom", "-1 - id as start", "200 + id as end")  # 2e10 pairs
+    assert iv.subset_matrix(regions, crowd, ["n", "m"]).groupBy("n", "m").count().collect()[0].asDict() == {"n": 1, "m": 0, "count": 100_000}
