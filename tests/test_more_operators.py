@@ -34,6 +34,14 @@ def test_pairs(spark):
     assert rows(pairs.contacts_of(p, r)) == [("c", 1, 2), ("c", 3, 4), ("c", 90, 95)]
 
 
+def test_both_feet_meet_one_row(spark):
+    """Rows of one id that each meet one foot are no meeting; a row that meets both is."""
+    schema = "id int, a struct<chrom:string,start:long,end:long>, b struct<chrom:string,start:long,end:long>"
+    p = spark.createDataFrame([(1, ("c", 0, 5), ("c", 90, 95))], schema)
+    o = spark.createDataFrame([(7, ("c", 1, 2), ("d", 0, 9)), (7, ("d", 0, 9), ("c", 91, 92)), (8, ("c", 94, 99), ("c", 4, 9)), (9, ("c", 0, 99), ("d", 0, 1)), (6, ("c", 3, 3), ("c", 90, 91))], schema)
+    assert rows(pairs.pairs_meeting(p, o)) == [(1, 8), (1, 9)]
+
+
 def test_ancestors(spark):
     t = spark.createDataFrame([("a", []), ("b", ["a"]), ("c", ["b"]), ("d", ["c", "a"]), ("e", ["d"])], "id string, parents array<string>")
     up = {}
