@@ -56,6 +56,22 @@ def test_motifs(spark):
     assert rows(pairs.motif_hits(seqs, matrix, 1.0)) == [("s", 1, 4, "+", 3.0), ("s", 2, 5, "-", 3.0)]
 
 
+def test_equal_pairs_of_a_batch_are_aligned_once(spark, monkeypatch):
+    import pandas as pd
+
+    from spanframe.operators import alignment
+
+    seen = []
+    kept = {}
+    monkeypatch.setattr(alignment, "align", lambda a, b, local=False: seen.append((a, b)) or align(a, b, local))
+    monkeypatch.setattr(alignment.F, "pandas_udf", lambda f, kind: kept.update(run=f) or (lambda *columns: None))
+    alignment.align_columns(None, None)
+    left, right = pd.Series(["ACGT", None, "ACGT"] * 100), pd.Series(["AGT", "A", "AGT"] * 100)
+    (out,) = kept["run"](iter([(left, right)]))
+    assert len(out) == 300 and sorted(seen) == [("", "A"), ("ACGT", "AGT")]
+    assert [tuple(r) for r in out.itertuples(index=False)] == [align(x or "", y or "") for x, y in zip(left, right, strict=True)]
+
+
 def plain_score(a, b):
     low = -1e18
     n, m = len(a), len(b)
