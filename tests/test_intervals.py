@@ -157,3 +157,23 @@ def test_subset_matrix_makes_no_pairs(spark, sides):
     crowd = crowded(spark, 200_000, "'n' as name", "id")
     regions = spark.range(100_000).selectExpr("'c' as chrom", "-1 - id as start", "200 + id as end")  # 2e10 pairs
     assert iv.subset_matrix(regions, crowd, ["n", "m"]).groupBy("n", "m").count().collect()[0].asDict() == {"n": 1, "m": 0, "count": 100_000}
+
+
+def test_cores_list_one_bin_and_lose_no_pair(spark):
+    """Where a partner must contain one place of a side, that side lists one bin a tag; every relation and share still finds all."""
+    r = random.Random(3)
+    made = lambda n: [("c", s := r.randrange(400), s + r.choice([1, 2, 3, 4, 31, 32, 33, 64, 500, 5000]), i) for i in range(n)]
+    q, t = made(120), made(120)
+    kind = "chrom string, start long, end long, id int"
+    dq, dt = spark.createDataFrame(q, kind), spark.createDataFrame(t, kind)
+    for relation in ("o", "oi", "d", "di", "within"):
+        got = sorted((x["q_id"], x["t_id"]) for x in iv.overlap_join(dq, dt, relation).select("q_id", "t_id").collect())
+        assert got == sorted((i, j) for _, x, y, i in q for _, a, b, j in t if TESTS[relation](a, b - 1, x, y - 1))
+        side = 0 if iv._CORES[relation][0] else 1
+        listed = iv._Bins(dq, dt, iv._CORES[relation]).listed((dq, dt)[side], side)
+        assert listed.groupBy("id", "__tag").count().agg({"count": "max"}).first()[0] == 1
+    for share in (0.5, 0.75):
+        shared = [(i, j, min(b, y) - max(a, x), y - x, b - a) for _, x, y, i in q for _, a, b, j in t]
+        got = lambda **how: sorted((x["q_id"], x["t_id"]) for x in iv.overlap_join(dq, dt, **how).select("q_id", "t_id").collect())
+        assert got(threshold=share) == sorted((i, j) for i, j, k, n, _ in shared if k >= share * n)
+        assert got(reciprocal=share) == sorted((i, j) for i, j, k, n, m in shared if k >= share * n and k >= share * m)
