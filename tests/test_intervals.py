@@ -177,3 +177,51 @@ def test_cores_list_one_bin_and_lose_no_pair(spark):
         got = lambda **how: sorted((x["q_id"], x["t_id"]) for x in iv.overlap_join(dq, dt, **how).select("q_id", "t_id").collect())
         assert got(threshold=share) == sorted((i, j) for i, j, k, n, _ in shared if k >= share * n)
         assert got(reciprocal=share) == sorted((i, j) for i, j, k, n, m in shared if k >= share * n and k >= share * m)
+
+
+def uneven(spark, n, m):
+    """n queries and m targets of many lengths, as rows and as frames."""
+    r = random.Random(17)
+    made = lambda k: [(r.choice("ab"), s := r.randrange(-600, 600), s + r.choice([0, 1, 2, 3, 4, 31, 32, 33, 64, 500, 40_000]), i) for i in range(k)]
+    q, t = made(n), made(m)
+    kind = "chrom string, start long, end long, id int"
+    return q, t, spark.createDataFrame(q, kind), spark.createDataFrame(t, kind)
+
+
+def met(q, t, holds):
+    return sorted((i, j) for c, x, y, i in q for e, a, b, j in t if c == e and y > x and b > a and holds(a, b - 1, x, y - 1))
+
+
+def joined(dq, dt, *args, **how):
+    return sorted((r["q_id"], r["t_id"]) for r in iv.overlap_join(dq, dt, *args, **how).select("q_id", "t_id").collect())
+
+
+def listed_rows(bins, df, side):
+    out = bins.listed(df, side)
+    return out.groupBy("id", "__tag").count().agg({"count": "max"}).first()[0], "__bin" in out.columns
+
+
+@pytest.mark.parametrize("relation", ["d", "oi", "within", "o", "di"])
+@pytest.mark.parametrize("sizes", [(400, 25), (25, 400)])
+def test_the_larger_side_lists_one_place(spark, relation, sizes):
+    """Whichever side is larger, it makes one row a tag, its bin is not shuffled, and no pair is lost."""
+    q, t, dq, dt = uneven(spark, *sizes)
+    assert joined(dq, dt, relation) == met(q, t, TESTS[relation])
+    bins, larger = iv._Bins(dq, dt, iv._CORES[relation]), int(sizes[1] > sizes[0])
+    assert bins.point == larger
+    assert listed_rows(bins, (dq, dt)[larger], larger) == (1, False)
+    most, has_bin = listed_rows(bins, (dq, dt)[1 - larger], 1 - larger)
+    assert most <= iv.SPAN + 2 and has_bin
+
+
+@pytest.mark.parametrize("how", ["threshold", "reciprocal"])
+@pytest.mark.parametrize("sizes", [(400, 25), (25, 400)])
+def test_shares_list_one_place_of_the_larger_side(spark, how, sizes):
+    """Of two middle places one is listed, also where they lie in two bins."""
+    q, t, dq, dt = uneven(spark, *sizes)
+    for share in (0.5, 0.75, 1.0):
+        shared = lambda a, b, x, y: min(b, y) - max(a, x) + 1
+        holds = lambda a, b, x, y: shared(a, b, x, y) >= share * (y - x + 1) and (how == "threshold" or shared(a, b, x, y) >= share * (b - a + 1))  # noqa: E731, B023
+        assert joined(dq, dt, **{how: share}) == met(q, t, holds)
+    bins, larger = iv._Bins(dq, dt, (iv._MIDDLE, None)), int(sizes[1] > sizes[0])
+    assert bins.point == larger and listed_rows(bins, (dq, dt)[larger], larger) == (1, False)
