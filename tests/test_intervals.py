@@ -224,3 +224,23 @@ def test_shares_list_one_place_of_the_larger_side(spark, how, sizes):
         assert joined(dq, dt, **{how: share}) == met(q, t, holds)
     bins, larger = iv._Bins(dq, dt, (iv._MIDDLE, None)), int(sizes[1] > sizes[0])
     assert listed_rows(bins, (dq, dt)[larger], larger) == (1, False)
+
+
+@pytest.mark.parametrize("relation", ["o", "oi", "d", "di", "within", "any"])
+def test_large_sides_lose_no_pair_in_order(spark, monkeypatch, relation):
+    monkeypatch.setattr(iv, "ORDERED_FROM", 0, raising=False)
+    for sizes in ((150, 25), (25, 150)):
+        q, t, dq, dt = uneven(spark, *sizes)
+        assert joined(dq, dt, relation) == met(q, t, TESTS[relation])
+
+
+@pytest.mark.parametrize("how", [{"relation": "o"}, {"relation": "oi"}, {"threshold": 0.5}, {"reciprocal": 0.5}, {}], ids=str)
+def test_pairs_of_large_sides_are_written_in_few_bytes(spark, monkeypatch, tmp_path, how):
+    """Neighbouring queries list much the same partners in the same row, so a file of pairs takes under a byte a pair; in no order it takes over 1.2."""
+    monkeypatch.setattr(iv, "ORDERED_FROM", 0, raising=False)
+    made = lambda n, k: spark.range(n).selectExpr("'c' as chrom", f"hash(id, {k}) % 200 as start", "id").selectExpr("chrom", "cast(start as long) as start", f"start + 1 + pmod(hash(id, {k + 1}), 40) as end", "id")
+    pairs = iv.overlap_join(made(20_000, 1), made(1_000, 3), **how).select("q_id", "t_id")
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    written = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    n = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert n > 100_000 and written < n
