@@ -244,3 +244,20 @@ def test_pairs_of_large_sides_are_written_in_few_bytes(spark, monkeypatch, tmp_p
     written = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
     n = spark.read.parquet(str(tmp_path / "pairs")).count()
     assert n > 100_000 and written < n
+
+
+@pytest.mark.parametrize("how", [{"relation": "o"}, {"relation": "oi"}, {"threshold": 0.5}], ids=str)
+def test_files_of_pairs_of_large_sides_keep_their_dictionaries(spark, monkeypatch, tmp_path, how):
+    """A file of pairs has no more numbers than a Parquet dictionary holds, however few the shuffle's partitions; else each pair costs 8 bytes before compression."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(iv, "ORDERED_FROM", 0)
+    made = lambda n, k: spark.range(n).selectExpr(f"cast(pmod(hash(id, {k + 2}), 100) as string) as chrom", f"pmod(hash(id, {k}), 200) as start", "id").selectExpr("chrom", "cast(start as long) as start", f"start + 1 + pmod(hash(id, {k + 1}), 40) as end", "id")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        iv.overlap_join(made(200_000, 1), made(8_000, 5), **how).select("q_id", "t_id").write.parquet(str(tmp_path / "pairs"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    metas = [pq.ParquetFile(f).metadata for f in (tmp_path / "pairs").glob("*.parquet")]
+    columns = [m.row_group(g).column(c) for m in metas for g in range(m.num_row_groups) for c in range(2)]
+    assert sum(m.num_rows for m in metas) > 200_000 and not [c.path_in_schema for c in columns if "PLAIN" in c.encodings]
